@@ -554,7 +554,7 @@ def build(fit_rounds: int, shown_temperatures: list[float]) -> dict[str, str]:
         for m in "pqr"
     ]
     q["soft_vote"] = query(
-        wide("v"),
+        wide("v", digits=6),
         *[score_cte(f"s_{m}", m) for m in "pqr"],
         *shares,
         """v AS (SELECT id, class_idx, avg(p) AS p FROM (SELECT * FROM n_p UNION ALL SELECT * FROM n_q

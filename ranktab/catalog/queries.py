@@ -381,7 +381,7 @@ def fold_score_stats(spark, sf):
 def soft_vote(spark, sf):
     df = scores(spark, sf)
     votes = [proba.normalise(score_array(m)) for m in ("p", "q", "r")]
-    return spread(df.withColumn("proba", proba.soft_vote(votes)))
+    return spread(df.withColumn("proba", proba.soft_vote(votes)), digits=6)
 
 
 def score_softmax(spark, sf):
