@@ -19,6 +19,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def balanced(df: DataFrame, keys: list[str]) -> DataFrame:
+    """A scan with fewer splits than cores is dealt out to all of them.
+
+    One Parquet row group is one task, however heavy the expressions above it.
+    Large tables have many splits and are left alone. ``keys`` together should
+    identify a row, so that no hot key gathers rows in one task.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+
+
 def _recode(value: Column, names: dict[str, str], other: str) -> Column:
     out = F
     for k, v in names.items():
@@ -28,7 +39,10 @@ def _recode(value: Column, names: dict[str, str], other: str) -> Column:
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One labelled row per order line."""
-    line = table(spark, sf_dir, "lineitem")
+    line = balanced(
+        table(spark, sf_dir, "lineitem"),
+        ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"],
+    )
     part = table(spark, sf_dir, "part")
     orders = table(spark, sf_dir, "orders")
     rows = line.join(part, F.col("l_partkey") == F.col("p_partkey")).join(

@@ -36,6 +36,7 @@ from ranktab.operators.binning import Binner, MedianFlag
 from ranktab.operators.bounded import local_table
 from ranktab.plans import features
 from ranktab.schema import SNAKE
+from ranktab.sources.staging import stage
 
 #: Temperatures used where a query applies given ones.
 SHOWN_TEMPERATURES = [0.5, 0.8, 1.0, 1.25, 1.5, 2.0, 4.0]
@@ -313,8 +314,11 @@ def target_encode_apply(spark, sf):
 
 def target_encode_oof(spark, sf):
     train, _ = _coded(spark, sf)
-    folded = folds.stratified_folds(
-        train.select("id", "label", SNAKE.combo, "code"), "label", "id", 5
+    # Read twice below (sums, then rows), so the sorted fold assignment is written once.
+    folded = stage(
+        folds.stratified_folds(
+            train.select("id", "label", SNAKE.combo, "code"), "label", "id", 5
+        )
     )
     out = encoding.out_of_fold_encoding(folded, SNAKE.combo, "code", out="encoded")
     return rounded(out.select("id", SNAKE.combo, "fold", "encoded"), 9)

@@ -38,8 +38,10 @@ def rank_of(proba: Column, code: Column) -> Column:
 
 def average_precision(proba: Column, code: Column, k: int) -> Column:
     """1/place when the true class is among the first k, else 0."""
-    place = rank_of(proba, code)
-    return F.when(place <= k, F.lit(1.0) / place).otherwise(F.lit(0.0))
+    return bind(
+        rank_of(proba, code),
+        lambda place: F.when(place <= k, F.lit(1.0) / place).otherwise(F.lit(0.0)),
+    )
 
 
 def bind(value: Column, body) -> Column:

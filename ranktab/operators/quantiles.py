@@ -151,6 +151,16 @@ def _range_number(cuts: dict[str, list[float]]):
     return number
 
 
+def binary_quantiles(zeros: int, ones: int, probabilities: list[float]) -> list[float]:
+    """Quantiles of a 0/1 column from its two counts."""
+    edges = []
+    for p in probabilities:
+        position = p * (zeros + ones - 1)
+        a, b = float(math.floor(position) >= zeros), float(math.ceil(position) >= zeros)
+        edges.append(a if a == b else position - math.floor(position))
+    return edges
+
+
 def medians(df: DataFrame, columns: list[str], **options) -> dict[str, float | None]:
     found = quantiles(df, columns, [0.5], **options)
     return {c: (v[0] if v else None) for c, v in found.items()}

@@ -16,7 +16,12 @@ from pyspark.sql import functions as F
 
 from ranktab.functions import domain
 from ranktab.functions.bins import above, bin_code, distinct_edges
-from ranktab.operators.quantiles import equal_width_edges, even_probabilities, quantiles
+from ranktab.operators.quantiles import (
+    binary_quantiles,
+    equal_width_edges,
+    even_probabilities,
+    quantiles,
+)
 from ranktab.operators.shaping import add_missing_columns
 from ranktab.schema import SNAKE, Columns, has_columns
 
@@ -92,9 +97,14 @@ class BaseFeatures(Estimator, _FeatureParams, DefaultParamsReadable, DefaultPara
         thresholds = {x: (at(x, [0.5]) or [None])[0] for x in binned}
         flag_edges: dict[str, list[float]] = {}
         if cfg.parity and binned:
-            flags = dataset.select(*[above(F.col(x), thresholds[x]).alias(x) for x in binned])
-            tenths = quantiles(flags, binned, even_probabilities(10), mode=cfg.quantile_mode)
-            flag_edges = {x: distinct_edges(tenths[x] or []) for x in binned}
+            counts = dataset.agg(
+                F.count(F.lit(1)).alias("_rows"),
+                *[F.sum(above(F.col(x), thresholds[x])).alias(x) for x in binned],
+            ).first()
+            for x in binned:
+                ones = counts[x] or 0
+                tenths = binary_quantiles(counts["_rows"] - ones, ones, even_probabilities(10))
+                flag_edges[x] = distinct_edges(tenths) if counts["_rows"] else []
         model = BaseFeaturesModel()
         model._set(
             columns=asdict(c),

@@ -11,7 +11,6 @@ from ranktab.functions.proba import reweight, sharpen
 from ranktab.operators.augment import augment, jitter_columns
 from ranktab.operators.calibrate import fit_temperatures, search_weights
 from ranktab.operators.encoding import (
-    class_labels,
     factorized_labels,
     fit_target_encoding,
     out_of_fold_encoding,
@@ -80,8 +79,8 @@ def enrich(train: DataFrame, test: DataFrame, config: JobConfig, folds: int) ->
     the input again.
     """
     c = config.columns
-    labels = class_labels(train, c.label)
     codes = factorized_labels(train, c.label, c.id)
+    labels = sorted(codes)
     coded = with_label_code(with_label_code(train, labels, c.label, LABEL), codes, c.label, "te_code")
     folded = stage(stratified_folds(coded, c.label, c.id, folds, config.seed))
     base = BaseFeatures(c, config.features).fit(folded)
