@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ranktab.functions.rng import tagged, uniform
+from ranktab.functions.rng import tagged, uniform, uniform_sql
 
 N_CLASSES = 7
 CLASSES = [f"class{i + 1}" for i in range(N_CLASSES)]
@@ -113,19 +113,10 @@ def scores(spark: SparkSession, sf_dir: str, model: str = "p") -> DataFrame:
 
 
 def score_array(model: str = "p") -> Column:
-    key = F.col("id")
-    lift = F.when(
-        uniform(tagged(key, "hit")) < 0.9,
-        F.lit(0.3) + F.lit(0.55) * uniform(tagged(key, "lift")),
-    ).otherwise(F.lit(0.0))
-    return F.array(
-        *[
-            F.round(
-                F.lit(0.0001)
-                + F.lit(0.9) * uniform(tagged(key, model, i)) / F.lit(float(N_CLASSES))
-                + F.when(F.col("y") == i, lift).otherwise(F.lit(0.0)),
-                6,
-            )
-            for i in range(N_CLASSES)
-        ]
-    )
+    hit, lift = uniform_sql("concat(id, ':hit')"), uniform_sql("concat(id, ':lift')")
+    slots = [
+        f"""round(0.0001D + 0.9D * {uniform_sql(f"concat(id, ':{model}:{i}')")} / {N_CLASSES}D
+        + CASE WHEN y = {i} AND {hit} < 0.9D THEN 0.3D + 0.55D * {lift} ELSE 0D END, 6)"""
+        for i in range(N_CLASSES)
+    ]
+    return F.expr(f"array({', '.join(slots)})")

@@ -613,4 +613,12 @@ def build(fit_rounds: int, shown_temperatures: list[float]) -> dict[str, str]:
         """r AS (SELECT moved, factor, y, s.class_idx, row_number() OVER (PARTITION BY moved, factor, id
         ORDER BY p * w DESC, s.class_idx DESC) AS place FROM scores s JOIN weights USING (class_idx))""",
     )
+    q["oof_meta_features"] = query(
+        "SELECT id, fold, CAST(7 AS INT) AS n_forest, CAST(7 AS INT) AS n_boosted, CAST(7 AS INT) AS n_linear FROM folded",
+        f"""plant AS (SELECT id, concat('class', CAST(1 + CAST(CASE WHEN {u(text('id', "'plant'"))} < 0.75
+        THEN (ascii(crop_type) + ascii(soil_type) + nitrogen // 15) % 7
+        ELSE floor({u(text('id', "'noise'"))} * 7) END AS INT) AS VARCHAR)) AS label FROM samples
+        WHERE substr(md5(concat(id, ':split')), 1, 1) < 'c')""",
+        folds("plant", 2),
+    )
     return q

@@ -173,7 +173,7 @@ def env_features(spark, sf):
     df = samples(spark, sf)
     out = domain.environment(SNAKE)
     edges = quantiles.quantiles(df, SNAKE.climate, quantiles.even_probabilities(5))
-    out.update({f"{c}_zone": bin_code(F.col(c), e) for c, e in edges.items()})
+    out.update({f"{c}_zone": bin_code(c, e) for c, e in edges.items()})
     return only(df, out)
 
 

@@ -5,31 +5,48 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ranktab.functions.rng import sum_columns
-
 
 def distinct_edges(edges: list[float]) -> list[float]:
     return sorted(set(e for e in edges if e is not None))
 
 
-def bin_code(value: Column, edges: list[float]) -> Column:
-    """Index of the right-closed bin that holds ``value``.
+def double(x: float) -> str:
+    """A double literal in SQL text."""
+    return f"{float(x)!r}D"
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def bin_code(column: str, edges: list[float]) -> Column:
+    """Index of the right-closed bin that holds the value of ``column``.
 
     Only the inner edges are compared, so values outside the fitted range fall
     into the first or last bin. NULL stays NULL; fewer than two distinct edges
     (a constant column) leave no bin at all, so every code is NULL. A sum of
-    comparisons stays inside generated code, unlike an array lambda.
+    comparisons stays inside generated code, unlike an array lambda; as one SQL
+    text it is parsed once instead of built call by call.
     """
-    inner = distinct_edges(edges)[1:-1]
-    if len(distinct_edges(edges)) < 2:
+    distinct = distinct_edges(edges)
+    if len(distinct) < 2:
         return F.lit(None).cast("int")
-    if not inner:
-        return F.when(value.isNotNull(), F.lit(0))
-    return sum_columns([(value > F.lit(e)).cast("int") for e in inner])
+    x = quoted(column)
+    if len(distinct) == 2:
+        return F.expr(f"CASE WHEN {x} IS NOT NULL THEN 0 END")
+    return F.expr(" + ".join(f"CAST({x} > {double(e)} AS INT)" for e in distinct[1:-1]))
 
 
-def above(value: Column, threshold: float | None) -> Column:
+def above(column: str, threshold: float | None) -> Column:
     """1 when strictly above the threshold, else 0; NULL counts as 0."""
     if threshold is None:
         return F.lit(0)
-    return F.coalesce((value > F.lit(threshold)).cast("int"), F.lit(0))
+    return F.expr(f"coalesce(CAST({quoted(column)} > {double(threshold)} AS INT), 0)")
+
+
+def above_code(column: str, threshold: float | None, edges: list[float]) -> Column:
+    """Bin code of the 0/1 flag that :func:`above` gives."""
+    if len(distinct_edges(edges)) < 2:
+        return F.lit(None).cast("int")
+    flag = above(column, threshold)
+    return sum((flag > F.lit(e)).cast("int") for e in distinct_edges(edges)[1:-1]) + F.lit(0)

@@ -9,8 +9,6 @@ digest holds two independent 52-bit uniforms (``lane`` 0 and 1).
 from __future__ import annotations
 
 import math
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -39,8 +37,14 @@ def normal(text: Column, lane: int = 0) -> Column:
     return radius * (F.cos(angle) if lane == 0 else F.sin(angle))
 
 
-def beta_symmetric(text: Column, alpha: float, attempts: int = 16) -> Column:
-    """Beta(alpha, alpha) by Joehnk's rejection method.
+def uniform_sql(text: str, lane: int = 0) -> str:
+    """:func:`uniform` as SQL text, for expressions with many draws."""
+    digits = f"substring(md5({text}), {1 + _HEX_PER_LANE * lane}, {_HEX_PER_LANE})"
+    return f"(CAST(conv({digits}, 16, 10) AS BIGINT) / {_TWO_52!r}D)"
+
+
+def beta_symmetric(column: str, alpha: float, attempts: int = 16) -> Column:
+    """Beta(alpha, alpha) by Joehnk's rejection method, keyed by a string column.
 
     ``attempts`` independent pairs are laid out and the first accepted one is
     taken. For alpha = 0.2 a pair is accepted with probability 0.95, so 16
@@ -48,18 +52,13 @@ def beta_symmetric(text: Column, alpha: float, attempts: int = 16) -> Column:
     """
     draws = []
     for i in range(attempts):
-        t = tagged(text, i)
-        x = F.pow(uniform(t, 0), F.lit(1.0 / alpha))
-        y = F.pow(uniform(t, 1), F.lit(1.0 / alpha))
-        total = x + y
-        draws.append(F.when((total <= 1.0) & (total > 0.0), x / total))
-    return F.coalesce(*draws, F.lit(0.5))
+        text = f"concat({column}, ':{i}')"
+        x = f"pow({uniform_sql(text, 0)}, {1.0 / alpha!r}D)"
+        y = f"pow({uniform_sql(text, 1)}, {1.0 / alpha!r}D)"
+        draws.append(f"CASE WHEN {x} + {y} <= 1D AND {x} + {y} > 0D THEN {x} / ({x} + {y}) END")
+    return F.expr(f"coalesce({', '.join(draws)}, 0.5D)")
 
 
 def hash_order(key: Column, seed: int | str) -> Column:
     """Hex string that puts rows into a seeded pseudo-random order."""
     return F.md5(tagged(key, seed).cast("binary"))
-
-
-def sum_columns(cols: list[Column]) -> Column:
-    return reduce(lambda a, b: a + b, cols)

@@ -173,7 +173,7 @@ def mixup(
     both = _pairs(_drawn_rows(df, key, strata, limit, seed, BUCKET_DIGITS), strata, rest)
     names = [F.col(s).cast("string") for s in strata]
     text = tagged(F.concat_ws(":", *names), "lam", seed, F.col("draw"))
-    both = both.withColumn("_lam", beta_symmetric(text, alpha))
+    both = both.withColumn("_text", text).withColumn("_lam", beta_symmetric("_text", alpha))
     lam = F.col("_lam")
     out = []
     for name in df.columns:

@@ -12,7 +12,6 @@ from pyspark.ml import Estimator, Model
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ranktab.functions.bins import above, bin_code, distinct_edges
 from ranktab.operators.quantiles import (
@@ -71,7 +70,7 @@ class BinnerModel(Model, _BinParams, DefaultParamsReadable, DefaultParamsWritabl
     def codes(self) -> dict:
         """``{output column: Column}``."""
         return {
-            out: bin_code(F.col(col), edges)
+            out: bin_code(col, edges)
             for (col, out), edges in zip(self.pairs(), self.getOrDefault("edges"))
         }
 
@@ -112,7 +111,7 @@ class MedianFlagModel(Model, _BinParams, DefaultParamsReadable, DefaultParamsWri
 
     def flags(self) -> dict:
         return {
-            out: above(F.col(col), t)
+            out: above(col, t)
             for (col, out), t in zip(self.pairs(), self.getOrDefault("thresholds"))
         }
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ranktab.functions import domain
-from ranktab.functions.bins import above, bin_code, distinct_edges
+from ranktab.functions.bins import above, above_code, bin_code, distinct_edges
 from ranktab.operators.quantiles import (
     binary_quantiles,
     equal_width_edges,
@@ -99,7 +99,7 @@ class BaseFeatures(Estimator, _FeatureParams, DefaultParamsReadable, DefaultPara
         if cfg.parity and binned:
             counts = dataset.agg(
                 F.count(F.lit(1)).alias("_rows"),
-                *[F.sum(above(F.col(x), thresholds[x])).alias(x) for x in binned],
+                *[F.sum(above(x, thresholds[x])).alias(x) for x in binned],
             ).first()
             for x in binned:
                 ones = counts[x] or 0
@@ -129,10 +129,10 @@ class BaseFeaturesModel(Model, _FeatureParams, DefaultParamsReadable, DefaultPar
         out: dict[str, Column] = {}
         medians = self.getOrDefault("thresholds")
         for x, edges in self.getOrDefault("edges").items():
-            out[f"{x}_cat"] = bin_code(F.col(x), edges)
-            out[f"{x}_high"] = above(F.col(x), medians[x])
+            out[f"{x}_cat"] = bin_code(x, edges)
+            out[f"{x}_high"] = above(x, medians[x])
         for x, edges in self.getOrDefault("flagEdges").items():
-            out[f"{x}_high_cat"] = bin_code(above(F.col(x), medians[x]), edges)
+            out[f"{x}_high_cat"] = above_code(x, medians[x], edges)
         if cfg.constant:
             out["const"] = F.lit(1)
         if cfg.environment:
@@ -144,7 +144,7 @@ class BaseFeaturesModel(Model, _FeatureParams, DefaultParamsReadable, DefaultPar
                     found.pop("climate_comfort")
                 out.update(found)
             for x, edges in self.getOrDefault("zoneEdges").items():
-                out[f"{x.lower()}_zone"] = bin_code(F.col(x), edges)
+                out[f"{x.lower()}_zone"] = bin_code(x, edges)
         if cfg.nutrients and has_columns(df, c.nutrients):
             found = domain.nutrients(c, cfg.epsilon)
             if not cfg.nutrient_total:
