@@ -30,12 +30,16 @@ def local_table(spark: SparkSession, columns: dict[str, list]) -> DataFrame:
 def settle(df: DataFrame, rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
     """Compute an aggregate once; ``(table, is it small)``.
 
-    Up to ``rows`` rows become a literal relation. A larger one is staged.
+    Up to ``rows`` rows become a literal relation. A larger one is staged, whole.
+    ``take`` reads partitions step by step and stops at the bound.
     """
-    head = df.limit(rows + 1).toArrow()
-    if head.num_rows <= rows:
-        return df.sparkSession.createDataFrame(head), True
-    return stage(df), False
+    head = df.take(rows + 1)
+    if len(head) > rows:
+        return stage(df), False
+    if not head:
+        return df.sparkSession.createDataFrame([], df.schema), True
+    table = local_table(df.sparkSession, {c: [r[c] for r in head] for c in df.columns})
+    return table.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in df.schema]), True
 
 
 def attach(

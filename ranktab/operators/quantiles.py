@@ -66,15 +66,16 @@ def _select_by_ranges(
             for c in columns
         ]
     ).first()
-    cuts = {c: sorted(set(cuts_row[c] or [])) for c in columns}
+    cuts = {c: sorted(set(cuts_row[c])) for c in columns if cuts_row[c]}
+    if len(cuts) < len(columns):  # columns without any value
+        found = _select_by_ranges(data, list(cuts), probabilities, ranges) if cuts else {}
+        return {c: found.get(c) for c in columns}
     long = data.select(
         F.explode(
             F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("v")) for c in columns])
         ).alias("s")
     ).select("s.name", "s.v").where(F.col("v").isNotNull())
-    # array_binary_search is not in the public API; a range join on the cuts
-    # would replicate rows. A row's range is the number of cuts below it, found
-    # by a sorted-array position in a literal per column.
+    # A row's range is the number of cuts below its value; the cuts are literals.
     ranged = long.withColumn("r", _range_number(cuts))
     sizes = {
         (r["name"], r["r"]): r["n"]
@@ -89,13 +90,9 @@ def _select_by_ranges(
             total += sizes[(c, r)]
         for place in sorted(
             {f(p * (total - 1)) for p in probabilities for f in (math.floor, math.ceil)}
-            if total
-            else set()
         ):
             start, r = max(s for s in starts if s[0] <= place)
             wanted.append((c, r, place - start, place))
-    if not wanted:
-        return {c: None for c in columns}
     keep = F.lit(False)
     for c in columns:
         hit = sorted({r for name, r, _, _ in wanted if name == c})
@@ -122,9 +119,6 @@ def _select_by_ranges(
                 at[(c, place)] = row["v"]
     out: dict[str, list[float] | None] = {}
     for c in columns:
-        if not counts[c]:
-            out[c] = None
-            continue
         edges = []
         for p in probabilities:
             position = p * (counts[c] - 1)
