@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ranktab.catalog.bindings import (
     CLASSES,
     N_CLASSES,
-    planted,
+    is_train,
     samples,
     score_array,
     scores,
@@ -74,13 +74,8 @@ def scan_samples(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def dataset_summary(spark, sf):
-    train, test = split(samples(spark, sf))
-    return (
-        train.select(F.lit("train").alias("split"))
-        .unionAll(test.select(F.lit("test").alias("split")))
-        .groupBy("split")
-        .agg(F.count(F.lit(1)).alias("n_rows"))
-    )
+    side = F.when(is_train(), "train").otherwise("test").alias("split")
+    return samples(spark, sf).groupBy(side).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 def rename_typo(spark, sf):
@@ -246,8 +241,16 @@ def categorical_columns(spark, sf):
     model, df = _fitted_base(spark, sf)
     out = model.transform(df)
     names = features.categorical_columns(out)
+    # A set of codes is bounded by the number of bins; only strings need a
+    # distinct aggregate, which repeats every row once per column.
+    coded = model.arity()
     stats = out.agg(
-        *[F.count_distinct(c).alias(f"{c}|levels") for c in names],
+        *[
+            (F.size(F.collect_set(c)).cast("bigint") if c in coded else F.count_distinct(c)).alias(
+                f"{c}|levels"
+            )
+            for c in names
+        ],
         *[F.count(c).alias(f"{c}|values") for c in names],
     )
     long = stats.unpivot([], [F.col(f"`{c}`") for c in stats.columns], "name", "n")

@@ -1,11 +1,12 @@
 """Exact quantiles, medians and ranges of many columns.
 
-Two ways give the same numbers. When every column has few distinct values (a
-cheap sketch tells), one ``percentile`` aggregate reads them all in one pass.
-Otherwise ``percentile`` would hold every distinct value of a column in one
-task, so the exact order statistics are picked by buckets: approximate
-quantiles cut each column into ranges, range sizes locate the wanted positions,
-and only the ranges that hold one are sorted.
+Two ways give the same numbers. A column with few distinct values (a cheap
+sketch tells) is counted by value first, so what reaches the last step is one
+row per distinct value, however many rows and map tasks there are. A column
+with many distinct values would still be too much for that step. It is cut into
+ranges by a small sample; range sizes locate the wanted places, and only the
+ranges that hold one are looked into: cut again while they are large, then
+sorted. Cuts decide how even the work is, never the result.
 """
 
 from __future__ import annotations
@@ -15,10 +16,18 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ranktab.operators.bounded import local_table
+
 #: Distinct values per column up to which the one-pass aggregate is used.
 DISTINCT_BOUND = 100_000
 #: Ranges a column is cut into on the other way.
 RANGES = 2_048
+#: Ranges a wanted range is cut into again.
+INNER_RANGES = 256
+#: Rows (about) the cuts are taken from.
+CUT_SAMPLE = 500_000
+#: Rows of a range up to which one task sorts it.
+SORT_ROWS = 5_000_000
 
 
 def even_probabilities(bins: int) -> list[float]:
@@ -32,6 +41,7 @@ def quantiles(
     mode: str = "exact",
     distinct_bound: int = DISTINCT_BOUND,
     ranges: int = RANGES,
+    sort_rows: int = SORT_ROWS,
 ) -> dict[str, list[float] | None]:
     """Linearly interpolated quantiles per column; None for a column without values."""
     if not columns:
@@ -39,110 +49,165 @@ def quantiles(
     data = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
     if mode == "approx":
         found = data.agg(
-            *[F.percentile_approx(c, probabilities, 1_000_000).alias(c) for c in columns]
+            *[F.percentile_approx(c, probabilities, 10_000).alias(c) for c in columns]
         ).first()
         return {c: found[c] for c in columns}
     if mode != "exact":
         raise ValueError(f"unknown quantile mode {mode!r}")
-    profile = data.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first()
-    small = [c for c in columns if profile[c] <= distinct_bound]
+    profile = data.agg(
+        *[F.count(c).alias(f"n_{i}") for i, c in enumerate(columns)],
+        *[F.approx_count_distinct(c).alias(f"d_{i}") for i, c in enumerate(columns)],
+    ).first()
+    small = [c for i, c in enumerate(columns) if profile[f"d_{i}"] <= distinct_bound]
+    large = [c for c in columns if c not in small]
     out: dict[str, list[float] | None] = {}
     if small:
-        array = F.array(*[F.lit(float(p)) for p in probabilities])
-        found = data.agg(*[F.percentile(c, array).alias(c) for c in small]).first()
-        out.update({c: found[c] for c in small})
-    large = [c for c in columns if c not in small]
+        out.update(_from_value_counts(data, small, probabilities))
     if large:
-        out.update(_select_by_ranges(data, large, probabilities, ranges))
+        totals = {c: profile[f"n_{i}"] for i, c in enumerate(columns) if c in large}
+        out.update(_from_ranges(data, totals, probabilities, ranges, sort_rows))
     return {c: out[c] for c in columns}
 
 
-def _select_by_ranges(
-    data: DataFrame, columns: list[str], probabilities: list[float], ranges: int
+def _long(data: DataFrame, columns: list[str]) -> DataFrame:
+    """``(name, v)``, one row per column and value; NULLs left out."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("v")) for c in columns])
+    return data.select(F.inline(pairs)).where(F.col("v").isNotNull())
+
+
+def _from_value_counts(
+    data: DataFrame, columns: list[str], probabilities: list[float]
 ) -> dict[str, list[float] | None]:
-    cuts_row = data.agg(
-        *[
-            F.percentile_approx(c, [i / ranges for i in range(1, ranges)], 4 * ranges).alias(c)
-            for c in columns
-        ]
-    ).first()
-    cuts = {c: sorted(set(cuts_row[c])) for c in columns if cuts_row[c]}
-    if len(cuts) < len(columns):  # columns without any value
-        found = _select_by_ranges(data, list(cuts), probabilities, ranges) if cuts else {}
-        return {c: found.get(c) for c in columns}
-    long = data.select(
-        F.explode(
-            F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("v")) for c in columns])
-        ).alias("s")
-    ).select("s.name", "s.v").where(F.col("v").isNotNull())
-    # A row's range is the number of cuts below its value; the cuts are literals.
-    ranged = long.withColumn("r", _range_number(cuts))
-    sizes = {
-        (r["name"], r["r"]): r["n"]
-        for r in ranged.groupBy("name", "r").agg(F.count(F.lit(1)).alias("n")).collect()
+    counts = _long(data, columns).groupBy("name", "v").agg(F.count(F.lit(1)).alias("n"))
+    array = F.array(*[F.lit(float(p)) for p in probabilities])
+    rows = counts.groupBy("name").agg(F.percentile("v", array, F.col("n")).alias("q")).collect()
+    found = {r["name"]: r["q"] for r in rows}
+    return {c: found.get(c) for c in columns}
+
+
+def _from_ranges(
+    data: DataFrame,
+    totals: dict[str, int],
+    probabilities: list[float],
+    ranges: int,
+    sort_rows: int,
+) -> dict[str, list[float] | None]:
+    positions = {c: [p * (n - 1) for p in probabilities] for c, n in totals.items() if n}
+    places = {
+        c: sorted({f(x) for x in xs for f in (math.floor, math.ceil)})
+        for c, xs in positions.items()
     }
-    wanted: list[tuple[str, int, int, int]] = []  # column, range, place inside, place overall
-    counts = {c: sum(n for (name, _), n in sizes.items() if name == c) for c in columns}
-    for c in columns:
+    if not places:
+        return {c: None for c in totals}
+    at = _values_at(_long(data, list(places)), places, totals, ranges, sort_rows)
+
+    def between(c: str, x: float) -> float:
+        low, high = math.floor(x), math.ceil(x)
+        a, b = at[(c, low)], at[(c, high)]
+        return a if a == b else (high - x) * a + (x - low) * b
+
+    return {
+        c: [between(c, x) for x in positions[c]] if c in positions else None for c in totals
+    }
+
+
+def _values_at(
+    long: DataFrame,
+    places: dict[str, list[int]],
+    totals: dict[str, int],
+    ranges: int,
+    sort_rows: int,
+) -> dict[tuple[str, int], float]:
+    """The values at 0-based ``places`` of each name's sorted values."""
+    spark = long.sparkSession
+    share = min(1.0, CUT_SAMPLE / sum(totals[c] for c in places))
+    sampled = long if share >= 1.0 else long.sample(share, seed=42)
+    even = [i / ranges for i in range(1, ranges)]
+    rows = sampled.groupBy("name").agg(F.percentile_approx("v", even, 4 * ranges)).collect()
+    ranged = _with_range(long, {r[0]: sorted(set(r[1])) for r in rows})
+
+    sizes: dict[str, dict[int, int]] = {c: {} for c in places}
+    for r in ranged.groupBy("name", "r").agg(F.count(F.lit(1)).alias("n")).collect():
+        sizes[r["name"]][r["r"]] = r["n"]
+    wanted = []  # name, range, place inside the range, place
+    for c, asked in places.items():
         starts, total = [], 0
-        for r in sorted(r for name, r in sizes if name == c):
+        for r in sorted(sizes[c]):
             starts.append((total, r))
-            total += sizes[(c, r)]
-        for place in sorted(
-            {f(p * (total - 1)) for p in probabilities for f in (math.floor, math.ceil)}
-        ):
+            total += sizes[c][r]
+        for place in asked:
             start, r = max(s for s in starts if s[0] <= place)
             wanted.append((c, r, place - start, place))
-    keep = F.lit(False)
-    for c in columns:
-        hit = sorted({r for name, r, _, _ in wanted if name == c})
-        keep = keep | ((F.col("name") == c) & F.col("r").isin(hit))
-    # A hot value is one row here, with its count.
-    values = ranged.where(keep).groupBy("name", "r", "v").agg(F.count(F.lit(1)).alias("n"))
-    upto = Window.partitionBy("name", "r").orderBy("v")
-    placed = values.withColumn("last", F.sum("n").over(upto) - 1).withColumn(
-        "first", F.col("last") - F.col("n") + 1
+    opened = {(c, r) for c, r, _, _ in wanted}
+    size = {f"{c}|{r}": sizes[c][r] for c, r in opened}
+    larger = any(sizes[c][r] > sort_rows for c, r in opened)
+    # A range that did not shrink holds few distinct values; sorting counts those.
+    shrank = all(sizes[c][r] < totals[c] or sizes[c][r] <= sort_rows for c, r in opened)
+    part = local_table(
+        spark,
+        {
+            "name": [c for c, _ in opened],
+            "r": [r for _, r in opened],
+            "part": [f"{c}|{r}" for c, r in opened],
+        },
     )
-    hit_rule = F.lit(False)
-    for c, r, inside, _ in wanted:
-        hit_rule = hit_rule | (
-            (F.col("name") == c)
-            & (F.col("r") == r)
-            & (F.col("first") <= inside)
-            & (F.col("last") >= inside)
-        )
-    rows = placed.where(hit_rule).collect()
-    at: dict[tuple[str, int], float] = {}
-    for c, r, inside, place in wanted:
-        for row in rows:
-            if row["name"] == c and row["r"] == r and row["first"] <= inside <= row["last"]:
-                at[(c, place)] = row["v"]
-    out: dict[str, list[float] | None] = {}
-    for c in columns:
-        edges = []
-        for p in probabilities:
-            position = p * (counts[c] - 1)
-            low, high = math.floor(position), math.ceil(position)
-            a, b = at[(c, low)], at[(c, high)]
-            edges.append(a if a == b else (high - position) * a + (position - low) * b)
-        out[c] = edges
-    return out
+    inside = ranged.join(F.broadcast(part), ["name", "r"]).select(F.col("part").alias("name"), "v")
+    asked_inside: dict[str, list[int]] = {}
+    for c, r, i, _ in wanted:
+        asked_inside.setdefault(f"{c}|{r}", []).append(i)
+    if larger and shrank:
+        found = _values_at(inside, asked_inside, size, INNER_RANGES, sort_rows)
+    else:
+        found = _sorted_values_at(inside, asked_inside)
+    return {(c, place): found[(f"{c}|{r}", i)] for c, r, i, place in wanted}
 
 
-def _range_number(cuts: dict[str, list[float]]):
-    """Number of cuts strictly below ``v``: two levels, so about 2·sqrt(cuts) comparisons."""
-    number = F.lit(0)
-    for c, points in cuts.items():
+def _with_range(long: DataFrame, cuts: dict[str, list[float]]) -> DataFrame:
+    """Add ``r``, the number of a name's cuts below the value.
+
+    Cuts are laid out in blocks, so a row takes about 2·sqrt(cuts) comparisons.
+    """
+    names, steps, heads, blocks = [], [], [], []
+    for name, points in cuts.items():
         step = max(1, math.isqrt(len(points)))
-        blocks = [points[i : i + step] for i in range(0, len(points), step)]
-        heads = F.array(*[F.lit(b[-1]) for b in blocks])
-        block = F.size(F.filter(heads, lambda e: e < F.col("v")))
-        inside = F.get(F.array(*[F.array(*[F.lit(e) for e in b]) for b in blocks]), block)
-        here = block * step + F.coalesce(
-            F.size(F.filter(inside, lambda e: e < F.col("v"))), F.lit(0)
+        names.append(name)
+        steps.append(step)
+        blocks.append([points[i : i + step] for i in range(0, len(points), step)])
+        heads.append([b[-1] for b in blocks[-1]])
+    table = local_table(
+        long.sparkSession, {"name": names, "step": steps, "heads": heads, "blocks": blocks}
+    )
+
+    def below(points: str) -> str:
+        return f"size(filter({points}, e -> e < v))"
+
+    # Names the sample missed have no cuts: one range.
+    return (
+        long.join(F.broadcast(table), "name", "left")
+        .withColumn("block", F.expr(f"coalesce({below('heads')}, 0)"))
+        .selectExpr(
+            "name", "v", f"coalesce(block * step, 0) + coalesce({below('get(blocks, block)')}, 0) AS r"
         )
-        number = F.when(F.col("name") == c, here).otherwise(number)
-    return number
+    )
+
+
+def _sorted_values_at(
+    long: DataFrame, places: dict[str, list[int]]
+) -> dict[tuple[str, int], float]:
+    """The same by sorting each name; a hot value is one row here, with its count."""
+    upto = Window.partitionBy("name").orderBy("v")
+    values = (
+        long.groupBy("name", "v")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("after", F.sum("n").over(upto))
+    )
+    asked = [(c, i) for c, xs in places.items() for i in sorted(set(xs))]
+    table = local_table(
+        long.sparkSession, {"name": [c for c, _ in asked], "place": [i for _, i in asked]}
+    )
+    hit = (F.col("place") < F.col("after")) & (F.col("place") >= F.col("after") - F.col("n"))
+    rows = values.join(F.broadcast(table), "name").where(hit).collect()
+    return {(r["name"], r["place"]): r["v"] for r in rows}
 
 
 def binary_quantiles(zeros: int, ones: int, probabilities: list[float]) -> list[float]:

@@ -52,7 +52,7 @@ class Columns:
 #: Lower-case names, used by the registered queries.
 SNAKE = Columns()
 
-#: Names of the published competition files (fixed values).
+#: Names used in the public data files (fixed values).
 TITLE = Columns(
     label="Fertilizer Name",
     temperature="Temperature",
