@@ -44,8 +44,10 @@ def main(argv: list[str] | None = None) -> None:
     if args.mode == "evaluate":
         jobs.evaluate_job(data.train, config).show(truncate=False)
     elif args.mode == "search":
-        found = jobs.run_search(data.train, config)
-        found.experiments(spark).coalesce(1).write.mode("append").json(f"{args.out}/experiments")
+        found = jobs.run_search(
+            data.train, config, test=data.test, original=data.original, path=args.out
+        )
+        found.experiments(spark).show(truncate=False)
     else:
         mode = ALIASES.get(args.mode, args.mode)
         save_results(jobs.run_job(data.train, data.test, mode, config), args.out)

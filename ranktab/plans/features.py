@@ -124,14 +124,19 @@ class BaseFeaturesModel(Model, _FeatureParams, DefaultParamsReadable, DefaultPar
     flagEdges = Param(Params._dummy(), "flagEdges", "flag edges", TypeConverters.identity)
 
     def expressions(self, df: DataFrame) -> dict[str, Column]:
-        """``{feature: Column}`` in the documented order."""
+        """``{feature: Column}`` in the documented order, as far as ``df`` has the inputs."""
         c, cfg = self.roles(), self.settings()
+
+        def present(name: str) -> dict[str, list[float]]:
+            fitted = self.getOrDefault(name)
+            return {x: edges for x, edges in fitted.items() if has_columns(df, [x])}
+
         out: dict[str, Column] = {}
         medians = self.getOrDefault("thresholds")
-        for x, edges in self.getOrDefault("edges").items():
+        for x, edges in present("edges").items():
             out[f"{x}_cat"] = bin_code(x, edges)
             out[f"{x}_high"] = above(x, medians[x])
-        for x, edges in self.getOrDefault("flagEdges").items():
+        for x, edges in present("flagEdges").items():
             out[f"{x}_high_cat"] = above_code(x, medians[x], edges)
         if cfg.constant:
             out["const"] = F.lit(1)
@@ -143,7 +148,7 @@ class BaseFeaturesModel(Model, _FeatureParams, DefaultParamsReadable, DefaultPar
                 if not cfg.climate_comfort:
                     found.pop("climate_comfort")
                 out.update(found)
-            for x, edges in self.getOrDefault("zoneEdges").items():
+            for x, edges in present("zoneEdges").items():
                 out[f"{x.lower()}_zone"] = bin_code(x, edges)
         if cfg.nutrients and has_columns(df, c.nutrients):
             found = domain.nutrients(c, cfg.epsilon)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,15 +11,24 @@ from ranktab.functions.proba import reweight, sharpen
 from ranktab.operators.augment import augment, jitter_columns
 from ranktab.operators.calibrate import fit_temperatures, search_weights
 from ranktab.operators.encoding import (
+    TargetEncoding,
     factorized_labels,
     fit_target_encoding,
+    known_labels_only,
     out_of_fold_encoding,
     with_label_code,
 )
 from ranktab.operators.folds import stratified_folds
 from ranktab.operators.metrics import mean_and_spread
 from ranktab.operators.results import top1_result, top_k_result
-from ranktab.plans.features import BaseFeatures, FeatureConfig, categorical_columns
+from ranktab.operators.shaping import align_columns
+from ranktab.plans.features import (
+    BaseFeatures,
+    BaseFeaturesModel,
+    FeatureConfig,
+    categorical_columns,
+    extra_features,
+)
 from ranktab.plans.learners import (
     LABEL,
     QUICK,
@@ -36,6 +45,7 @@ from ranktab.plans.learners import (
 from ranktab.plans.search import SearchConfig, SearchResult, evaluate_stack, search_features
 from ranktab.plans.stacking import Stacking
 from ranktab.schema import SNAKE, Columns, numeric_columns
+from ranktab.sources.sinks import append_experiment, save_feature_tables
 from ranktab.sources.staging import stage
 
 MODES = ("stacking", "ranking", "snapshot", "single")
@@ -69,6 +79,13 @@ class Enriched:
     test: DataFrame
     labels: list[str]
     arity: dict[str, int]
+    base: BaseFeaturesModel
+    encoder: TargetEncoding | None
+
+    def features_of(self, df: DataFrame) -> DataFrame:
+        """The same features for other rows."""
+        wide = self.base.transform(df)
+        return self.encoder.transform(wide) if self.encoder else wide
 
 
 def enrich(train: DataFrame, test: DataFrame, config: JobConfig, folds: int) -> Enriched:
@@ -84,12 +101,12 @@ def enrich(train: DataFrame, test: DataFrame, config: JobConfig, folds: int) ->
     coded = with_label_code(with_label_code(train, labels, c.label, LABEL), codes, c.label, "te_code")
     folded = stage(stratified_folds(coded, c.label, c.id, folds, config.seed))
     base = BaseFeatures(c, config.features).fit(folded)
-    wide, wide_test = base.transform(folded), base.transform(test)
+    wide, encoder = base.transform(folded), None
     if config.encode and c.combo in wide.columns:
         encoder = fit_target_encoding(wide, c.combo, "te_code")
         wide = out_of_fold_encoding(wide, c.combo, "te_code")
-        wide_test = encoder.transform(wide_test)
-    return Enriched(wide, wide_test, labels, base.arity())
+    rows = Enriched(wide, test, labels, base.arity(), base, encoder)
+    return replace(rows, test=rows.features_of(test))
 
 
 @dataclass(frozen=True)
@@ -163,13 +180,16 @@ def score(model, df: DataFrame, n_classes: int) -> DataFrame:
 def calibration(data: Prepared, mode: str, config: JobConfig) -> tuple[list[float], list[float]]:
     """Temperatures and class weights, learnt on a fold the calibrating model did not see."""
     n = len(data.labels)
-    seen = Prepared(data.train.where("fold <> 0"), data.test, data.labels, data.prep)
+    seen = replace(data, train=data.train.where("fold <> 0"))
     held = data.train.where("fold = 0")
+    if config.augment:  # originals only
+        held = held.where(F.col(config.columns.id).endswith("#0"))
     inner = config
     if mode == "stacking":  # its folds are 1..k-1 here
-        shift = seen.train.withColumn("fold", F.col("fold") - 1)
-        seen = Prepared(shift, data.test, data.labels, data.prep)
-        inner = JobConfig(**{**config.__dict__, "folds": config.folds - 1})
+        if config.folds < 3:
+            raise ValueError("calibrating a stack needs at least 3 folds")
+        seen = replace(data, train=seen.train.withColumn("fold", F.col("fold") - 1))
+        inner = replace(config, folds=config.folds - 1)
     scored = score(fit_mode(seen, mode, inner), held, n)
     scored = stage(scored.select(F.col(LABEL).cast("int").alias("y"), "proba"))
     temperatures = fit_temperatures(scored, n)
@@ -204,7 +224,7 @@ def evaluate_job(train: DataFrame, config: JobConfig = JobConfig(), inner: int =
     """
     c = config.columns
     rows = enrich(train, train.limit(0), config, config.evaluation_folds)
-    data = prepare(rows, JobConfig(**{**config.__dict__, "augment": False}))
+    data = prepare(rows, replace(config, augment=False))
     both = data.train.withColumn("_stratum", F.concat_ws("|", F.col(LABEL), "fold"))
     both = stratified_folds(both, "_stratum", c.id, inner, config.seed + 1, "inner_fold")
     per_fold = evaluate_stack(
@@ -217,9 +237,52 @@ def run_search(
     train: DataFrame,
     config: JobConfig = JobConfig(),
     search: SearchConfig = SearchConfig(),
+    test: DataFrame | None = None,
+    original: DataFrame | None = None,
+    path: str | None = None,
 ) -> SearchResult:
-    """Greedy search over the extra feature groups, on the folds of the job."""
-    rows = enrich(train, train.limit(0), config, search.folds)
-    return search_features(
-        stage(rows.train), rows.arity, len(rows.labels), config.size, search, config.columns
+    """Greedy search over the extra feature groups.
+
+    Auxiliary rows with known labels only train. With ``path``, the chosen feature
+    tables and a record of every round are written there.
+    """
+    c = config.columns
+    rows = enrich(train, train.limit(0) if test is None else test, config, search.folds)
+    aux = known_labels_only(original, train, c.label)
+    if aux is not None:
+        aux = rows.features_of(with_label_code(aux, rows.labels, c.label, LABEL))
+    base = stage(rows.train)
+    found = search_features(
+        base, rows.arity, len(rows.labels), config.size, search, c, aux=aux
+    )
+    if path is not None:
+        _save_search(found, base, rows.test, aux, path, c)
+    return found
+
+
+def _save_search(
+    found: SearchResult,
+    base: DataFrame,
+    test: DataFrame,
+    aux: DataFrame | None,
+    path: str,
+    c: Columns,
+) -> None:
+    technical = [c.id, c.label, "fold", LABEL, "te_code"]
+    for entry in found.history:
+        kind = "accepted" if entry["accepted"] else "rejected"
+        name = "baseline" if entry["iteration"] < 0 else f"iteration_{entry['iteration']}_{kind}"
+        frame = extra_features(base, entry["groups"], c)
+        append_experiment(frame, path, entry["iteration"], entry["score"], name, technical)
+    chosen = found.apply(base, c)
+    save_feature_tables(
+        f"{path}/best",
+        chosen,
+        align_columns(found.apply(test, c), chosen.columns),
+        None if aux is None else align_columns(found.apply(aux, c), chosen.columns),
+        {
+            "best_score": found.best_score,
+            "best_iteration": found.best_round,
+            "final_features": found.n_features,
+        },
     )

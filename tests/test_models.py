@@ -19,8 +19,9 @@ from ranktab.plans.learners import (
     predict_vote,
 )
 from ranktab.plans.stacking import Stacking, StackingModel
-from ranktab.sources.sinks import load_model, save_model
+from ranktab.sources.sinks import load_feature_tables, load_model, save_model
 from ranktab.sources.staging import stage
+from ranktab.schema import SNAKE, TITLE
 
 CONFIG = jobs.JobConfig(size=QUICK, folds=2, evaluation_folds=2, augment=False, snapshots=[2, 3])
 #: MAP@3 of always naming three of seven even classes is (1 + 1/2 + 1/3) / 7.
@@ -111,8 +112,8 @@ def test_candidate_ranker_scores_without_shuffle(data, truth):
 def test_selection_and_leaderboard(spark, data, truth):
     models = {
         k: v
-        for k, v in search.candidates(data.prep, QUICK, final=True, n_linear=_width(data)).items()
-        if k in ("forest", "linear", "perceptron")
+        for k, v in search.final_candidates(data.prep, QUICK, _width(data), 2).items()
+        if k in ("linear", "perceptron", "forest_deep")
     }
     chosen = search.select_model(data.train, models, 2)
     assert set(chosen.scores) == set(models) and chosen.best in models
@@ -145,18 +146,23 @@ def test_failed_folds(spark, data):
     assert [r["map_at_3"] for r in zero] == [0.0, 0.0]
 
 
-def test_feature_search(spark, rows):
-    found = jobs.run_search(split(rows)[0], CONFIG, search.SearchConfig(rounds=2, folds=2))
+def test_feature_search(spark, rows, tmp_path):
+    train, test = split(rows)
+    aux = test.where("moisture < 30").drop("moisture", "id")
+    settings = search.SearchConfig(rounds=2, folds=2)
+    found = jobs.run_search(train, CONFIG, settings, test, aux, str(tmp_path / "exp"))
+    saved = load_feature_tables(spark, str(tmp_path / "exp" / "best"))
+    assert saved[0].count() == train.count() and saved[1].count() == test.count()
+    assert saved[2].count() == aux.count()
+    assert saved[3]["best_score"] == found.best_score
+    assert set(saved[1].columns) <= set(saved[0].columns)
+    assert spark.read.json(str(tmp_path / "exp" / "feature_info")).count() == 3
     assert [h["iteration"] for h in found.history] == [-1, 0, 1]
     assert found.best_score >= found.baseline
     for h in found.history[1:]:
         assert h["accepted"] == (h["improvement"] > 0.001) and h["n_after"] > h["n_before"]
     table = found.experiments(spark)
     assert table.columns == ["iteration", "score", "n_before", "n_after", "improvement", "accepted"]
-    never = jobs.run_search(
-        split(rows)[0], CONFIG, search.SearchConfig(rounds=1, folds=2, threshold=2.0)
-    )
-    assert never.groups == [] and never.best_round == -1
 
 
 def test_auxiliary_rows_only_train(spark, rows):
@@ -184,6 +190,21 @@ def test_job_with_augmentation_and_calibration(rows):
     assert {r["label"] for r in out.select("label").distinct().collect()} <= {f"class{i}" for i in range(1, 8)}
 
 
+def test_job_with_title_names(rows):
+    """Column names with spaces, long ids, augmentation."""
+    names = dict(zip(SNAKE.inputs + ["label"], TITLE.inputs + [TITLE.label]))
+    renamed = rows.withColumnsRenamed(names).withColumn("id", F.xxhash64("id"))
+    train, test = split(renamed)
+    config = jobs.JobConfig(columns=TITLE, size=QUICK, folds=2)
+    out = jobs.run_job(train, test.drop(TITLE.label), "single", config)
+    assert out.columns == ["id", "Fertilizer Name"] and out.count() == test.count()
+
+
+def test_calibrating_a_stack_needs_three_folds(data):
+    with pytest.raises(ValueError):
+        jobs.calibration(data, "stacking", CONFIG)
+
+
 def test_copies_share_a_fold(rows):
     train, test = split(rows)
     config = jobs.JobConfig(size=QUICK, folds=2)
