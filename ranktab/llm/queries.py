@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ranktab.llm import decontamination, packing, simhash, token_counts
+from ranktab.llm import decontamination, packing, quality, simhash, token_counts, toxicity
 from ranktab.llm.shipping import ship
 
 
@@ -43,6 +43,16 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every text of ``documents``."""
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every text of ``documents``."""
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and exact tokens of every text of ``documents``."""
     docs = table(spark, sf_dir, "documents")
@@ -51,6 +61,14 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_best_fit_packing, op3_simhash_near_dedup, op4_benchmark_decontamination, op10_token_counts)
+    f.__name__: f
+    for f in (
+        op1_best_fit_packing,
+        op3_simhash_near_dedup,
+        op4_benchmark_decontamination,
+        op5_quality_classifier,
+        op8_toxicity,
+        op10_token_counts,
+    )
 }
 SQL: dict[str, str] = {}
