@@ -162,7 +162,7 @@ class LabelModel:
 
     prior: float
     rates: np.ndarray  # class, voter
-    weight: np.ndarray  # voter: 1 over how many voters say the same
+    weight: np.ndarray  # voter: 1 over the root of how many voters say the same
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
         spoke = np.log(self.rates[1] / self.rates[0]) * self.weight
@@ -184,7 +184,7 @@ def fit_label_model(votes: np.ndarray, labels: np.ndarray, trust: float = 0.98,
         spread = np.sqrt((rest**2).mean(axis=0)) + 1e-6
         together = (rest.T @ rest) / len(rest) / np.outer(spread, spread)
         np.fill_diagonal(together, 0)
-        weight = 1 / (1 + np.where(together > 0.1, together, 0).sum(axis=1))
+        weight = 1 / np.sqrt(1 + np.where(together > 0.1, together, 0).sum(axis=1))
         model = LabelModel(prior, np.clip(rates, 1e-5, 1 - 1e-5), weight)
         odds = model.posterior(votes)
         odds = np.log(odds / (1 - odds)) + given
@@ -208,7 +208,7 @@ class Classifier:
         return 1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -LIMIT, LIMIT)))
 
 
-def fit_linear(x: np.ndarray, p: np.ndarray, ridge: float = 0.2) -> np.ndarray:
+def fit_linear(x: np.ndarray, p: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     """Logistic weights (the last is the intercept) for targets between 0 and 1."""
     design = np.concatenate([x, np.ones((len(x), 1))], axis=1)
     w, pull = np.zeros(design.shape[1]), np.full(design.shape[1], ridge)
