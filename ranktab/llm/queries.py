@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ranktab.llm import decontamination, packing, quality, simhash, token_counts, toxicity
+from ranktab.llm import decontamination, packing, quality, simhash, suffixes, token_counts, toxicity
 from ranktab.llm.shipping import ship
 
 
@@ -53,6 +53,12 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of each document that repeat an earlier string of 100 bytes, and what is left."""
+    left = suffixes.without_repeats(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and exact tokens of every text of ``documents``."""
     docs = table(spark, sf_dir, "documents")
@@ -68,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op4_benchmark_decontamination,
         op5_quality_classifier,
         op8_toxicity,
+        op9_suffix_array_dedup,
         op10_token_counts,
     )
 }
