@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ranktab.llm import decontamination, packing, quality, simhash, suffixes, token_counts, toxicity
+from ranktab.llm import decontamination, lines, packing, quality, simhash, suffixes, token_counts, toxicity
 from ranktab.llm.shipping import ship
 
 
@@ -48,6 +48,13 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of each document, those that repeat others within two edits, and what is left."""
+    left = lines.dedup_lines(table(spark, sf_dir, "documents"), threshold=2, least_chars=16)
+    kept = F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")
+    return left.select("doc_id", "n_lines", "n_removed", "n_links", kept)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every text of ``documents``."""
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -73,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_simhash_near_dedup,
         op4_benchmark_decontamination,
         op5_quality_classifier,
+        op7_line_dedup,
         op8_toxicity,
         op9_suffix_array_dedup,
         op10_token_counts,
