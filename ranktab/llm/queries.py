@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ranktab.llm import decontamination, lines, packing, quality, simhash, suffixes, token_counts, toxicity
+from ranktab.llm import decontamination, lines, packing, quality, secrets, simhash, suffixes, token_counts, toxicity
 from ranktab.llm.shipping import ship
 
 
@@ -24,6 +24,13 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secret candidates of ``documents`` with the forest's score."""
+    found = secrets.secrets(table(spark, sf_dir, "documents"))
+    value = F.sha2("value", 256).alias("value_sha256")
+    return found.select("doc_id", "start", "part", F.char_length("value").alias("length"), value, "kind", "score", "secret")
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every row of ``documents``."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, radius=4)
@@ -77,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_best_fit_packing,
+        op2_secret_scans,
         op3_simhash_near_dedup,
         op4_benchmark_decontamination,
         op5_quality_classifier,
