@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ranktab.llm import decontamination, lines, packing, quality, secrets, simhash, suffixes, token_counts, toxicity
+from ranktab.llm import decontamination, lines, packing, quality, secrets, simhash, suffixes, token_counts, toxicity, vectors
 from ranktab.llm.shipping import ship
 
 
@@ -55,6 +55,12 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten nearest rows of ``embeddings`` by inner product for every hundredth id."""
+    rows = table(spark, sf_dir, "embeddings")
+    return vectors.top_k(rows, rows.where(F.col("vec_id") % 100 == 0), k=10, scale=1024)
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of each document, those that repeat others within two edits, and what is left."""
     left = lines.dedup_lines(table(spark, sf_dir, "documents"), threshold=2, least_chars=16)
@@ -88,10 +94,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_simhash_near_dedup,
         op4_benchmark_decontamination,
         op5_quality_classifier,
+        op6_exact_top_k,
         op7_line_dedup,
         op8_toxicity,
         op9_suffix_array_dedup,
         op10_token_counts,
     )
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op6_exact_top_k": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+            WHERE embedding IS NOT NULL AND len(embedding) > 0
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), scored AS (
+            SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+                   CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 100 = 0
+        ), ranked AS (
+            SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
+        )
+        SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10""",
+}
