@@ -8,7 +8,7 @@ a line of each shorter length. Lines that meet are verified by a banded bit-para
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ranktab.sources.staging import stage
@@ -19,35 +19,29 @@ FIRST_ID = -(1 << 63)
 SENT_KEYS = 1_000_000  # keys that may be sent to every task (16 MB); more are joined by a shuffle
 
 
-def _segment(length: Column, threshold: int, i: int) -> tuple[Column, Column]:
-    """Start (from 1) and length of segment ``i`` (from 0) of a line; the later ones are the longer."""
-    parts = threshold + 1
-    base, longer = F.floor(length / parts).cast("int"), (length % parts).cast("int")
-    short = F.lit(parts) - longer
-    start = base * i + F.greatest(F.lit(0), F.lit(i) - short) + 1
-    return start, base + F.when(F.lit(i) >= short, 1).otherwise(0)
-
-
-def segment_keys(line: Column, length: Column, threshold: int) -> Column:
-    """Keys of a line: its own segments (``indexed``), and the substrings that probe for others.
+def with_segment_keys(lines: DataFrame, threshold: int) -> DataFrame:
+    """Keys of each line: its own segments (``indexed``), and the substrings that probe for others.
 
     Places follow the multi-match-aware rule: edits left of a segment move it by at most their
-    number, and those right of it must make up for the difference in length.
+    number, and those right of it must make up for the difference in length. Of a length's segments
+    the later ones are the longer. The rules are a constant list, so each key is one short expression.
     """
-    keys = []
-    for gap in range(threshold + 1):
-        other = length - gap
-        for i in range(threshold + 1):
-            start, size = _segment(other, threshold, i)
-            low = max(-i, gap - (threshold - i))
-            high = min(i, gap + (threshold - i))
-            for move in range(low, high + 1):
-                at = start + move
-                # A place before the line or beyond its end holds no segment; the key then meets none.
-                inside = (at >= 1) & (at + size - 1 <= length) & (other >= threshold + 1)
-                key = F.xxhash64(F.when(inside, other), F.lit(i), F.when(inside, F.substring(line, at, size)))
-                keys.append(F.struct(key.alias("key"), F.lit(gap == 0 and move == 0).alias("indexed"), inside.alias("inside")))
-    return F.filter(F.array(*keys), lambda x: x["inside"])
+    parts = threshold + 1
+    rules = [
+        (gap, i, move)
+        for gap in range(parts)
+        for i in range(parts)
+        for move in range(max(-i, gap - (threshold - i)), min(i, gap + (threshold - i)) + 1)
+    ]
+    listed = F.array(*[F.struct(F.lit(g).alias("gap"), F.lit(i).alias("i"), F.lit(m).alias("move")) for g, i, m in rules])
+    rows = lines.select("*", F.explode(listed).alias("rule")).where(f"n - rule.gap >= {parts}")
+    rows = rows.withColumn("base", F.expr(f"cast((n - rule.gap) div {parts} as int)")).withColumn("short", F.expr(f"{parts} - (n - rule.gap) % {parts}"))
+    start = F.expr("base * rule.i + greatest(0, rule.i - short) + 1 + rule.move")
+    rows = rows.withColumn("start", start).withColumn("size", F.expr("base + if(rule.i >= short, 1, 0)"))
+    # A place before the line or beyond its end holds no segment.
+    rows = rows.where("start >= 1 and start + size - 1 <= n")
+    key = F.expr("xxhash64(n - rule.gap, rule.i, substring(line, start, size))")
+    return rows.select(*lines.columns, key.alias("key"), F.expr("rule.gap = 0 and rule.move = 0").alias("indexed"))
 
 
 def edit_expression(a: str, b: str, threshold: int) -> str:
@@ -89,8 +83,7 @@ def edit_links(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 
     ``lines`` needs ``line``, ``n``, ``h1``, ``h2``; repeated lines meet as one. Each pair comes once.
     """
-    keyed = lines.select("h1", "h2", "line", "n", F.explode(segment_keys(F.col("line"), F.col("n"), threshold)).alias("x"))
-    keyed = keyed.select("h1", "h2", "line", "n", "x.key", "x.indexed")
+    keyed = with_segment_keys(lines.select("h1", "h2", "line", "n"), threshold)
     # Counted before the shuffle, so that a line that stands in very many documents is one row per task.
     met = keyed.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high"), F.max(F.col("indexed").cast("int")).alias("any"))
     met = stage(met.where((F.col("low") != F.col("high")) & (F.col("any") == 1)).select("key"))
@@ -101,11 +94,12 @@ def edit_links(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     smaller = (F.col("a1") < F.col("b1")) | ((F.col("a1") == F.col("b1")) & (F.col("a2") < F.col("b2")))
     differ = (F.col("a1") != F.col("b1")) | (F.col("a2") != F.col("b2"))
     pairs = a.join(b, "key").where(differ & ((F.col("an") < F.col("bn")) | ((F.col("an") == F.col("bn")) & smaller)))
-    # A pair that shares several segments is verified once.
+    # A pair that shares several segments is verified once; pairs are dealt to all tasks, as each is some work.
+    pairs = pairs.withColumn("a", F.split("a", "")).withColumn("b", F.split("b", ""))
     pairs = pairs.groupBy("a1", "a2", "b1", "b2").agg(F.first("a").alias("a"), F.first("b").alias("b"))
-    found = pairs.withColumn("a", F.split("a", "")).withColumn("b", F.split("b", ""))
-    found = found.withColumn("edits", F.expr(edit_expression("a", "b", threshold))).where(F.col("edits").isNotNull())
-    return found.select("a1", "a2", "b1", "b2", "edits")
+    tasks = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = pairs.repartition(tasks, "a1", "b1").select("a1", "a2", "b1", "b2", F.explode(F.array(F.expr(edit_expression("a", "b", threshold)))).alias("edits"))
+    return found.where(F.col("edits").isNotNull())
 
 
 def line_decisions(docs: DataFrame, threshold: int = THRESHOLD, least_chars: int = LEAST_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
