@@ -125,6 +125,8 @@ def rule_labels(found: DataFrame) -> DataFrame:
     secret = (F.col("f_known_format") == 1) & (F.col("f_placeholder") == 0)
     secret = secret | ((F.col("f_named_before") == 1) & (F.col("f_assigned") == 1) & (F.col("f_entropy") >= 2.5) & (F.col("f_coverage") < 0.5) & (F.col("f_placeholder") == 0))
     harmless = (F.col("f_digits_only") == 1) | (F.col("f_placeholder") == 1) | (F.col("f_coverage") >= 0.8)
+    wordlike = (F.col("f_digit_share") < 0.15) & (F.col("f_upper_share") == 0) & (F.col("f_hex") == 0) & (F.col("f_named_before") == 0)
+    harmless = harmless | wordlike
     harmless = harmless | ((F.col("f_harmless_near") == 1) & (F.col("f_named_before") == 0)) | ((F.col("f_digit_share") == 0) & (F.col("f_named_before") == 0))
     return found.withColumn("label", F.when(secret, 1.0).when(harmless, 0.0))
 
