@@ -123,7 +123,10 @@ def line_decisions(docs: DataFrame, threshold: int = THRESHOLD, least_chars: int
     told = stage(told.select("h1", "h2", F.col("k").alias("first_k"), F.col("pos").alias("first_pos"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("late", F.lit(False)).alias("late")))
     rows = lines.select("k", "tag", "pos", "h1", "h2").join(told, ["h1", "h2"])
     gone = F.col("late") | (F.col("k") != F.col("first_k")) | (F.col("pos") != F.col("first_pos"))
-    return rows.groupBy("k", "tag").agg(F.collect_set(F.when(gone, F.col("pos"))).alias("removed"), F.sum("n_links").alias("n_links"))
+    # A set of places: rows given twice tell the same once.
+    told = rows.groupBy("k", "tag").agg(F.collect_set(F.struct("pos", gone.alias("gone"), "n_links")).alias("told"))
+    removed = F.transform(F.filter("told", lambda x: x["gone"]), lambda x: x["pos"])
+    return told.select("k", "tag", removed.alias("removed"), F.aggregate("told", F.lit(0).cast("long"), lambda n, x: n + x["n_links"]).alias("n_links"))
 
 
 def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, least_chars: int = LEAST_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
