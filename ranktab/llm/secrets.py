@@ -50,21 +50,16 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.col(id_col).alias("doc_id"), path.alias("path"), text.alias("text"))
     # A cheap look at the whole text first: most have neither a digit in a long run nor a name.
     likely = F.col("text").rlike(r"[0-9][A-Za-z0-9+/_\-]{5}|[A-Za-z0-9+/_\-]{5}[0-9]") | F.col("text").rlike(NAMED)
-    rows = rows.where(likely).withColumn("words", F.split("text", r"\s"))
-    near = lambda i, by: F.coalesce(F.get(F.col("words"), i + by), F.lit(""))
-    named = lambda i: (near(i, -2).rlike(NAMED) | near(i, -1).rlike(NAMED) | near(i, 0).rlike(NAMED))
-    is_hit = lambda i: near(i, 0).rlike(RUN) & (near(i, 0).rlike("[0-9]") | named(i))
-    lengths = F.transform("words", lambda w: F.char_length(w) + 1)
-    rows = rows.withColumn("hits", F.filter(F.sequence(F.lit(0), F.size("words") - 1), is_hit)).where(F.size("hits") > 0)
-    offset = lambda i: F.aggregate(F.slice(lengths, 1, i), F.lit(0).cast("long"), lambda a, n: a + n)
-    hit = F.transform(
-        "hits",
-        lambda i: F.struct(i.alias("word"), offset(i).alias("start"), near(i, 0).alias("piece"), near(i, -1).alias("before"), near(i, -2).alias("before2"), near(i, 1).alias("after")),
-    )
-    rows = rows.select("doc_id", "path", F.explode(hit).alias("x")).select("doc_id", "path", "x.*")
-    rows = rows.select("*", F.posexplode(F.regexp_extract_all("piece", F.lit(f"({RUN})"), 1)).alias("part", "value"))
-    lead = F.expr("substring_index(piece, value, 1)")
-    return rows.withColumn("lead", lead).where(F.col("value").rlike("[0-9]") | F.concat_ws(" ", "before2", "before", "lead").rlike(NAMED))
+    # The pieces are split once, below the generator; neighbours are looked up for the few hits alone.
+    rows = rows.where(likely).withColumn("words", F.split("text", r"\s")).drop("text")
+    rows = rows.select("doc_id", "path", "words", F.posexplode("words").alias("word", "piece"))
+    rows = rows.where((F.char_length("piece") >= LEAST_CHARS) & F.col("piece").rlike(RUN))
+    near = lambda by: F.coalesce(F.get(F.col("words"), F.col("word") + by), F.lit(""))
+    start = F.aggregate(F.slice("words", F.lit(1), F.col("word")), F.lit(0).cast("long"), lambda n, w: n + F.char_length(w) + 1)
+    parts = F.posexplode(F.regexp_extract_all("piece", F.lit(f"({RUN})"), 1)).alias("part", "value")
+    rows = rows.select("doc_id", "path", "word", start.alias("start"), "piece", near(-1).alias("before"), near(-2).alias("before2"), near(1).alias("after"), parts)
+    rows = rows.withColumn("lead", F.expr("substring_index(piece, value, 1)"))
+    return rows.where(F.col("value").rlike("[0-9]") | F.concat_ws(" ", "before2", "before", "lead").rlike(NAMED))
 
 
 def frequent_words(docs: DataFrame, text_col: str = "text", words: int = DICTIONARY) -> list[str]:
