@@ -29,6 +29,7 @@ FORMATS = {
     "payment_key": r"^[sr]k_(live|test)_[A-Za-z0-9]{16,}$",
     "web_token": r"^eyJ[A-Za-z0-9_\-]{10,}$",
 }
+BEGINNING = r"(AKIA|ASIA|gh[pousr]_|xox[abprs]-|[sr]k_(live|test)_|eyJ)"
 PLACEHOLDER = r"(?i)(example|sample|dummy|placeholder|changeme|your[_\-]?|xxxx|0000000|1234567|abcdef)"
 HARMLESS = r"(?i)(commit|sha1?|md5|hash|checksum|digest|revision|uuid|isbn|order|invoice|phone|card)"
 TEST_PATH = r"(?i)(test|spec|example|sample|mock|fixture|doc)"
@@ -39,7 +40,7 @@ FEATURES = (
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
-    """Every run of key-like characters with a digit, or beside a secret's name.
+    """Every run of key-like characters with a digit, with the beginning of a known format, or beside a secret's name.
 
     One row per finding: ``doc_id``, ``word`` (its number among the text's pieces between single white-space
     characters), ``start`` (character offset of that piece), ``part`` (number in the piece), ``value``,
@@ -49,7 +50,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     path = F.coalesce(F.col(path_col).cast("string"), F.lit("")) if path_col in docs.columns else F.lit("")
     rows = docs.select(F.col(id_col).alias("doc_id"), path.alias("path"), text.alias("text"))
     # A cheap look at the whole text first: most have neither a digit in a long run nor a name.
-    likely = F.col("text").rlike(r"[0-9][A-Za-z0-9+/_\-]{5}|[A-Za-z0-9+/_\-]{5}[0-9]") | F.col("text").rlike(NAMED)
+    likely = F.col("text").rlike(r"[0-9][A-Za-z0-9+/_\-]{5}|[A-Za-z0-9+/_\-]{5}[0-9]") | F.col("text").rlike(NAMED) | F.col("text").rlike(BEGINNING)
     # The pieces are split once, below the generator; neighbours are looked up for the few hits alone.
     rows = rows.where(likely).withColumn("words", F.split("text", r"\s")).drop("text")
     rows = rows.select("doc_id", "path", "words", F.posexplode("words").alias("word", "piece"))
@@ -59,7 +60,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     parts = F.posexplode(F.regexp_extract_all("piece", F.lit(f"({RUN})"), 1)).alias("part", "value")
     rows = rows.select("doc_id", "path", "word", start.alias("start"), "piece", near(-1).alias("before"), near(-2).alias("before2"), near(1).alias("after"), parts)
     rows = rows.withColumn("lead", F.expr("substring_index(piece, value, 1)"))
-    return rows.where(F.col("value").rlike("[0-9]") | F.concat_ws(" ", "before2", "before", "lead").rlike(NAMED))
+    return rows.where(F.col("value").rlike(f"[0-9]|^{BEGINNING}") | F.concat_ws(" ", "before2", "before", "lead").rlike(NAMED))
 
 
 def frequent_words(docs: DataFrame, text_col: str = "text", words: int = DICTIONARY) -> list[str]:
