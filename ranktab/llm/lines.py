@@ -16,6 +16,7 @@ from ranktab.sources.staging import stage
 THRESHOLD = 2
 LEAST_CHARS = 16
 FIRST_ID = -(1 << 63)
+COUNTED = "eaionrtshdlugwbcmfpy "  # characters whose numbers are compared first
 SENT_KEYS = 1_000_000  # keys that may be sent to every task (16 MB); more are joined by a shuffle
 
 
@@ -73,7 +74,9 @@ def edit_expression(a: str, b: str, threshold: int) -> str:
 def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = LEAST_CHARS) -> DataFrame:
     """Lines of at least ``least_chars`` characters: document (``k``, ``tag``), ``pos`` from 0, ``line``, its length and its digests."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(FIRST_ID)).alias("k"), F.xxhash64(text).alias("tag"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
+    # Digests of a text are made below the generator, once.
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(FIRST_ID)).alias("k"), F.xxhash64(text).alias("tag"), F.split(text, "\n").alias("lines"))
+    rows = rows.select("k", "tag", F.posexplode("lines").alias("pos", "line"))
     rows = rows.withColumn("n", F.char_length("line")).where(F.col("n") >= least_chars)
     return rows.select("k", "tag", "pos", "line", "n", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("second"), "line").alias("h2"))
 
@@ -88,17 +91,21 @@ def edit_links(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     met = keyed.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high"), F.max(F.col("indexed").cast("int")).alias("any"))
     met = stage(met.where((F.col("low") != F.col("high")) & (F.col("any") == 1)).select("key"))
     wanted = F.broadcast(met) if met.count() <= SENT_KEYS else met
-    members = stage(keyed.join(wanted, "key").groupBy("key", "h1", "h2", "indexed").agg(F.first("line").alias("line"), F.first("n").alias("n")))
-    a = members.where("indexed").select("key", F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("line").alias("a"), F.col("n").alias("an"))
-    b = members.select("key", F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("line").alias("b"), F.col("n").alias("bn"))
+    members = keyed.join(wanted, "key").groupBy("key", "h1", "h2", "indexed").agg(F.first("line").alias("line"), F.first("n").alias("n"))
+    counted = [(F.col("n") - F.char_length(F.replace(F.col("line"), F.lit(c), F.lit("")))).alias(f"c{i}") for i, c in enumerate(COUNTED)]
+    members = stage(members.select("*", *counted))
+    named = lambda side: [F.col(c).alias(f"{side}{i}") for c, i in (("h1", 1), ("h2", 2), ("line", ""), ("n", "n"), *((f"c{i}", f"c{i}") for i in range(len(COUNTED))))]
+    a, b = members.where("indexed").select("key", *named("a")), members.select("key", *named("b"))
     smaller = (F.col("a1") < F.col("b1")) | ((F.col("a1") == F.col("b1")) & (F.col("a2") < F.col("b2")))
     differ = (F.col("a1") != F.col("b1")) | (F.col("a2") != F.col("b2"))
-    pairs = a.join(b, "key").where(differ & ((F.col("an") < F.col("bn")) | ((F.col("an") == F.col("bn")) & smaller)))
+    # An edit changes the counts of characters by two in all, at most.
+    apart = sum((F.abs(F.col(f"ac{i}") - F.col(f"bc{i}")) for i in range(len(COUNTED))), F.lit(0))
+    pairs = a.join(b, "key").where((apart <= 2 * threshold) & differ & ((F.col("an") < F.col("bn")) | ((F.col("an") == F.col("bn")) & smaller)))
     # A pair that shares several segments is verified once; pairs are dealt to all tasks, as each is some work.
-    pairs = pairs.withColumn("a", F.split("a", "")).withColumn("b", F.split("b", ""))
     pairs = pairs.groupBy("a1", "a2", "b1", "b2").agg(F.first("a").alias("a"), F.first("b").alias("b"))
     tasks = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = pairs.repartition(tasks, "a1", "b1").select("a1", "a2", "b1", "b2", F.explode(F.array(F.expr(edit_expression("a", "b", threshold)))).alias("edits"))
+    pairs = pairs.repartition(tasks, "a1", "b1").withColumn("a", F.split("a", "")).withColumn("b", F.split("b", ""))
+    found = pairs.select("a1", "a2", "b1", "b2", F.explode(F.array(F.expr(edit_expression("a", "b", threshold)))).alias("edits"))
     return found.where(F.col("edits").isNotNull())
 
 
@@ -107,7 +114,8 @@ def line_decisions(docs: DataFrame, threshold: int = THRESHOLD, least_chars: int
     lines = lines_of(docs, id_col, text_col, least_chars)
     links = stage(edit_links(lines, threshold))
     # Lines of a document first, then of all: fixed-size values, combined before the shuffle.
-    own = lines.groupBy("h1", "h2", "k").agg(F.min("pos").alias("pos"), F.count(F.lit(1)).alias("n"))
+    places = stage(lines.select("k", "tag", "pos", "h1", "h2"))
+    own = places.groupBy("h1", "h2", "k").agg(F.min("pos").alias("pos"), F.count(F.lit(1)).alias("n"))
     own = stage(own)
     first_k = own.groupBy("h1", "h2").agg(F.min("k").alias("k"), F.sum("n").alias("n"))
     first = first_k.join(own.select("h1", "h2", "k", "pos"), ["h1", "h2", "k"])
@@ -121,7 +129,7 @@ def line_decisions(docs: DataFrame, threshold: int = THRESHOLD, least_chars: int
     near = near.agg(F.count(F.lit(1)).alias("n_links"), F.max(earlier).alias("late"))
     told = first.join(near, ["h1", "h2"], "left").where((F.col("n") > 1) | F.col("n_links").isNotNull())
     told = stage(told.select("h1", "h2", F.col("k").alias("first_k"), F.col("pos").alias("first_pos"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("late", F.lit(False)).alias("late")))
-    rows = lines.select("k", "tag", "pos", "h1", "h2").join(told, ["h1", "h2"])
+    rows = places.join(told, ["h1", "h2"])
     gone = F.col("late") | (F.col("k") != F.col("first_k")) | (F.col("pos") != F.col("first_pos"))
     # A set of places: rows given twice tell the same once.
     told = rows.groupBy("k", "tag").agg(F.collect_set(F.struct("pos", gone.alias("gone"), "n_links")).alias("told"))
@@ -145,8 +153,8 @@ def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, least_chars: int =
     told = told.select(*[F.col(c).alias(n) for c, n in names.items()])
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     same = (F.coalesce(docs[id_col].cast("long"), F.lit(FIRST_ID)) == told["_line_k"]) & (F.xxhash64(text) == told["_line_tag"])
-    joined = docs.join(told, same, "left")
-    split = F.split(text, "\n")
+    joined = docs.join(told, same, "left").withColumn("_line_split", F.split(text, "\n"))
+    split = F.col("_line_split")
     kept = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("_line_removed"))
     left = F.array_join(F.transform(kept, lambda i: F.get(split, i)), "\n")
     some = F.size("_line_removed") > 0  # null (no line to tell of) keeps the text
