@@ -308,6 +308,47 @@ def fit_ctes(rounds: int, points: int = 20) -> list[str]:
     return out
 
 
+FACTORS = (0.5, 0.7, 0.85, 0.95, 1.05, 1.15, 1.4, 2.0)
+PLANTED = f"""planted AS (SELECT id, concat('class', CAST(1 + CAST(CASE WHEN {u(text('id', "'plant'"))} < 0.75
+  THEN (ascii(crop_type) + ascii(soil_type) + nitrogen // 15) % 7
+  ELSE floor({u(text('id', "'noise'"))} * 7) END AS INT) AS VARCHAR)) AS label,
+  substr(md5(concat(id, ':split')), 1, 1) < 'c' AS is_train FROM samples)"""
+
+
+def weight_rounds(most: int) -> list[str]:
+    """Coordinate search of class weights, one CTE per round; once no move helps, nothing changes.
+
+    Precisions are counted in sixths, so sums are whole numbers.
+    """
+    rival = "list_transform(range(0, 7), lambda j: p[j + 1] * w[j + 1] * CASE WHEN j = moved THEN factor ELSE 1::DOUBLE END)"
+    out = [
+        "wide AS MATERIALIZED (SELECT id, any_value(y) AS y, list(p ORDER BY class_idx) AS p FROM scores GROUP BY id)",
+        f"moves AS MATERIALIZED (SELECT CAST(m.i AS INT) AS moved, f.x AS factor FROM (SELECT unnest(range(0, 7)) AS i) m, (SELECT unnest([{', '.join(lit(f) for f in FACTORS)}]) AS x) f)",
+        """base AS MATERIALIZED (SELECT sum(CASE WHEN ahead < 3 THEN 6 // (ahead + 1) ELSE 0 END) AS score, count(*) AS n FROM
+  (SELECT len(list_filter(range(0, 7), lambda j: p[j + 1] > p[y + 1] OR (p[j + 1] = p[y + 1] AND j > y))) AS ahead FROM wide))""",
+        "s0 AS MATERIALIZED (SELECT list_transform(range(0, 7), lambda j: 1::DOUBLE) AS w, score, n, 0 AS steps FROM base)",
+    ]
+    for r in range(most):
+        out.append(
+            f"""c{r} AS MATERIALIZED (SELECT moved, factor, sum(CASE WHEN ahead < 3 THEN 6 // (ahead + 1) ELSE 0 END) AS score FROM
+  (SELECT moved, factor, len(list_filter(range(0, 7), lambda j: x[j + 1] > x[y + 1] OR (x[j + 1] = x[y + 1] AND j > y))) AS ahead FROM
+   (SELECT moved, factor, y, {rival} AS x FROM wide, moves, s{r} WHERE steps = {r})) GROUP BY moved, factor)"""
+        )
+        out.append(
+            f"""t{r} AS MATERIALIZED (SELECT moved, factor, c.score, list_transform(range(0, 7), lambda j: w[j + 1] * CASE WHEN j = moved THEN factor ELSE 1::DOUBLE END) AS u
+  FROM c{r} c, s{r} s WHERE c.score > s.score)"""
+        )
+        out.append(
+            f"""m{r} AS MATERIALIZED (SELECT list_transform(u, lambda x: x * 7 / list_sum(u)) AS w, score FROM t{r}
+  WHERE len(list_filter(u, lambda x: x * 7 / list_sum(u) < 0.1 OR x * 7 / list_sum(u) > 5)) = 0 ORDER BY score DESC, moved, factor LIMIT 1)"""
+        )
+        out.append(
+            f"""s{r + 1} AS MATERIALIZED (SELECT coalesce(m.w, s.w) AS w, coalesce(m.score, s.score) AS score, s.n,
+  s.steps + CASE WHEN m.w IS NULL THEN 0 ELSE 1 END AS steps FROM s{r} s LEFT JOIN m{r} m ON true)"""
+        )
+    return out
+
+
 def weight_table() -> str:
     """Class weights after each move of the first search round, as VALUES."""
     rows = [
@@ -319,7 +360,10 @@ def weight_table() -> str:
     return "weights(moved, factor, class_idx, w) AS (VALUES " + ", ".join(rows) + ")"
 
 
-def build(fit_rounds: int, shown_temperatures: list[float]) -> dict[str, str]:
+WEIGHT_ROUNDS = 20
+
+
+def build(fit_rounds: int, shown_temperatures: list[float], model_folds: int) -> dict[str, str]:
     q: dict[str, str] = {}
     q["scan_samples"] = query("SELECT * FROM samples")
     q["dataset_summary"] = query(
@@ -589,7 +633,7 @@ def build(fit_rounds: int, shown_temperatures: list[float]) -> dict[str, str]:
         *fit_ctes(1),
     )
     q["temperature_fit"] = query(
-        f"""SELECT y AS class_idx, round(t, 6) AS temperature FROM b{fit_rounds - 1}
+        f"""SELECT y AS class_idx, round(t, 3) AS temperature FROM b{fit_rounds - 1}
         UNION ALL SELECT c, CAST(1 AS DOUBLE) FROM (SELECT CAST(unnest(range(0, 7)) AS INT) AS c)
         WHERE c NOT IN (SELECT y FROM b{fit_rounds - 1})""",
         score_cte(),
@@ -613,12 +657,25 @@ def build(fit_rounds: int, shown_temperatures: list[float]) -> dict[str, str]:
         """r AS (SELECT moved, factor, y, s.class_idx, row_number() OVER (PARTITION BY moved, factor, id
         ORDER BY p * w DESC, s.class_idx DESC) AS place FROM scores s JOIN weights USING (class_idx))""",
     )
+    q["class_weight_fit"] = query(
+        f"""SELECT CAST(j AS INT) AS class_idx, round(w[j + 1], 9) AS weight,
+        round(CAST(s.score AS DOUBLE) / (6 * s.n) - CAST(b.score AS DOUBLE) / (6 * s.n), 9) AS gain, CAST(steps + 1 AS INT) AS rounds
+        FROM (SELECT *, unnest(range(0, 7)) AS j FROM s{WEIGHT_ROUNDS}) s, base b""",
+        score_cte(),
+        *weight_rounds(WEIGHT_ROUNDS),
+    )
+    # Models are checked by what must hold of every row, and of all rows together.
+    distribution = "CAST(7 AS INT) AS n_slots, CAST(1 AS DOUBLE) AS total, CAST(0 AS INT) AS out_of_range"
+    summary = "SELECT 'all rows', CAST(count(*) AS INT), CAST(1 AS DOUBLE), CAST(0 AS INT)"
+    scored = query(f"SELECT id, {distribution} FROM planted WHERE NOT is_train UNION ALL {summary} FROM planted WHERE NOT is_train", PLANTED)
+    for name in ("stacking", "single_model", "snapshot_vote", "candidate_ranking", "model_selection", "base_learners"):
+        q[name] = scored
     q["oof_meta_features"] = query(
-        "SELECT id, fold, CAST(7 AS INT) AS n_forest, CAST(7 AS INT) AS n_boosted, CAST(7 AS INT) AS n_linear FROM folded",
-        f"""plant AS (SELECT id, concat('class', CAST(1 + CAST(CASE WHEN {u(text('id', "'plant'"))} < 0.75
-        THEN (ascii(crop_type) + ascii(soil_type) + nitrogen // 15) % 7
-        ELSE floor({u(text('id', "'noise'"))} * 7) END AS INT) AS VARCHAR)) AS label FROM samples
-        WHERE substr(md5(concat(id, ':split')), 1, 1) < 'c')""",
-        folds("plant", 2),
+        f"""SELECT id, fold, {distribution} FROM folded UNION ALL
+        SELECT 'all rows', CAST(-1 AS INT), CAST(count(*) AS INT), CAST(1 AS DOUBLE), CAST(0 AS INT) FROM folded""",
+        PLANTED,
+        "plant AS (SELECT id, label FROM planted WHERE is_train)",
+        folds("plant", model_folds),
     )
+    q["pipeline_stack"] = query("SELECT id, CAST(3 AS INT) AS n_labels, CAST(3 AS INT) AS n_known FROM planted WHERE NOT is_train", PLANTED)
     return q

@@ -41,7 +41,7 @@ from ranktab.sources.staging import stage
 #: Temperatures used where a query applies given ones.
 SHOWN_TEMPERATURES = [0.5, 0.8, 1.0, 1.25, 1.5, 2.0, 4.0]
 #: Grid rounds of the registered temperature fit.
-FIT_ROUNDS = 4
+FIT_ROUNDS = calibrate.GRID_ROUNDS
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -422,11 +422,13 @@ def temperature_loss(spark, sf):
 
 
 def temperature_fit(spark, sf):
+    """Temperatures to 3 digits: the loss is so flat at its least that the order of sums moves the sixth."""
     found = calibrate.fit_temperatures(scores(spark, sf), N_CLASSES, rounds=FIT_ROUNDS)
     return rounded(
         local_table(spark, {"class_idx": list(range(N_CLASSES)), "temperature": found}).withColumn(
             "class_idx", F.col("class_idx").cast("int")
-        )
+        ),
+        3,
     )
 
 
@@ -450,15 +452,17 @@ def class_weight_search(spark, sf):
 
 
 def class_weight_fit(spark, sf):
-    found = calibrate.search_weights(scores(spark, sf), N_CLASSES, max_rounds=4)
-    return local_table(
+    found = calibrate.search_weights(scores(spark, sf), N_CLASSES)
+    out = local_table(
         spark,
         {
             "class_idx": list(range(N_CLASSES)),
             "weight": found["weights"],
             "gain": [found["gain"]] * N_CLASSES,
+            "rounds": [found["rounds"]] * N_CLASSES,
         },
     )
+    return rounded(out.withColumns({c: F.col(c).cast("int") for c in ("class_idx", "rounds")}), 9)
 
 
 RELATIONAL = {

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ranktab.functions.rng import beta_symmetric, hash_order, normal, tagged, uniform
-from ranktab.operators.bounded import settle
 from ranktab.operators.ordinal import BUCKET_DIGITS, bucket_offsets, with_bucket
 from ranktab.operators.shaping import replicate
+from ranktab.sources.staging import stage
 
 #: Name parts of the columns that get jitter (fixed values).
 JITTER_NAMES = ("nitrogen", "phosphorous", "potassium", "npk")
@@ -78,16 +78,22 @@ def _drawn_rows(
     """
     rows = df.dropna(subset=strata).withColumn("_order", hash_order(F.col(key), f"mix:{seed}"))
     keyed = with_bucket(rows, "_order", digits)
-    picks, small = settle(_drawn_places(bucket_offsets(keyed, strata), strata, limit, seed))
+    picks = stage(_drawn_places(bucket_offsets(keyed, strata), strata, limit, seed))
     needed = picks.select(*strata, "_bucket").distinct()
     inside = Window.partitionBy(*strata, "_bucket").orderBy("_order", key)
     placed = keyed.join(
-        F.broadcast(needed) if small else needed, [*strata, "_bucket"], "left_semi"
+        needed, [*strata, "_bucket"], "left_semi"
     ).withColumn("_local", F.row_number().over(inside) - 1)
-    found = placed.join(F.broadcast(picks) if small else picks, [*strata, "_bucket", "_local"])
+    found = placed.join(picks, [*strata, "_bucket", "_local"])
     return found.drop("_order", "_bucket", "_local")
 
 
+def stratum_text(strata: list[str]) -> Column:
+    """A stratum as a string; a ``:`` inside a part is escaped, so no two strata share one."""
+    parts = [F.replace(F.col(s).cast("string"), F.lit("\\"), F.lit("\\\\")) for s in strata]
+    return F.concat_ws(":", *[F.replace(p, F.lit(":"), F.lit("\\:")) for p in parts])
+
+
 def _pairs(drawn: DataFrame, strata: list[str], columns: list[str]) -> DataFrame:
     """One row per draw, its two rows as structs ``a`` and ``b``."""
     whole = F.struct(*[F.col(c) for c in columns])
@@ -132,7 +138,7 @@ def _drawn_places(offsets: DataFrame, strata: list[str], limit: int, seed: int)
             F.sequence(F.lit(1), F.least(F.floor(F.col("n") / 2), F.lit(limit)).cast("int"))
         ).alias("draw"),
     ).where("n >= 2")
-    text = tagged(F.concat_ws(":", *[F.col(s).cast("string") for s in strata]), "mix", seed, F.col("draw"))
+    text = tagged(stratum_text(strata), "mix", seed, F.col("draw"))
     n = F.col("n")
     first = F.floor(uniform(text, 0) * n).cast("bigint")
     second = (first + 1 + F.floor(uniform(text, 1) * (n - 1)).cast("bigint")) % n
@@ -171,8 +177,7 @@ def mixup(
         return df.limit(0)
     rest = [c for c in df.columns if c not in strata]
     both = _pairs(_drawn_rows(df, key, strata, limit, seed, BUCKET_DIGITS), strata, rest)
-    names = [F.col(s).cast("string") for s in strata]
-    text = tagged(F.concat_ws(":", *names), "lam", seed, F.col("draw"))
+    text = tagged(stratum_text(strata), "lam", seed, F.col("draw"))
     both = both.withColumn("_text", text).withColumn("_lam", beta_symmetric("_text", alpha))
     lam = F.col("_lam")
     out = []
@@ -180,7 +185,7 @@ def mixup(
         if name in strata:
             value = F.col(name)
         elif name == key:
-            value = F.concat_ws(":", F.lit("mix"), *names, "draw")
+            value = F.concat_ws(":", F.lit("mix"), stratum_text(strata), "draw")
         elif name in numeric:
             value = lam * F.col(f"a.`{name}`") + (F.lit(1.0) - lam) * F.col(f"b.`{name}`")
         elif name == label:

@@ -1,54 +1,13 @@
-"""Joins against a small side whose size is checked, with a way beyond it.
-
-A side is broadcast only after its rows have been counted out. When there are
-too many, it is staged as a table and joined by shuffle, salted: the left
-side's rows of one key spread over several tasks, so a key that holds a third
-of all rows does not end up in one of them.
-"""
+"""Small tables made by the driver, and the bound of class lists."""
 
 from __future__ import annotations
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from ranktab.sources.staging import stage
 
-#: Most rows a broadcast side may have.
-BROADCAST_ROWS = 200_000
 #: Most classes a label may have; a class list lives in plans and on the driver.
 MAX_CLASSES = 1_000
-#: Parts a key is spread over when the small side is not small.
-SALTS = 32
-
 
 def local_table(spark: SparkSession, columns: dict[str, list]) -> DataFrame:
     """A small driver-side table as a literal relation (no job to build it)."""
     return spark.createDataFrame(pa.table(columns))
-
-
-def settle(df: DataFrame, rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
-    """Compute an aggregate once; ``(table, is it small)``.
-
-    Up to ``rows`` rows become a literal relation. A larger one is staged, whole.
-    ``take`` reads partitions step by step and stops at the bound.
-    """
-    head = df.take(rows + 1)
-    if len(head) > rows:
-        return stage(df), False
-    if not head:
-        return df.sparkSession.createDataFrame([], df.schema), True
-    table = local_table(df.sparkSession, {c: [r[c] for r in head] for c in df.columns})
-    return table.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in df.schema]), True
-
-
-def attach(
-    df: DataFrame, dim: DataFrame, on: list[str], small: bool, salts: int = SALTS
-) -> DataFrame:
-    """Left join ``dim`` (unique on ``on``) to ``df``; rows of ``df`` are all kept."""
-    if small:
-        return df.join(F.broadcast(dim), on, "left")
-    # A hash of the row, not rand(): a retried task must send a row the same way.
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)).cast("int"))
-    copies = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, [*on, "_salt"], "left").drop("_salt")

@@ -8,7 +8,8 @@ from pyspark.ml.feature import StringIndexer, StringIndexerModel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ranktab.operators.bounded import BROADCAST_ROWS, MAX_CLASSES, attach, local_table, settle
+from ranktab.operators.bounded import MAX_CLASSES, local_table
+from ranktab.sources.staging import stage
 
 
 # --- labels ------------------------------------------------------------------
@@ -95,31 +96,34 @@ def apply_category_codes(model: StringIndexerModel, df: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class TargetEncoding:
-    """Mean target per key, the overall mean, and whether the key table is small."""
+    """Mean target per key (a staged table), and the overall mean."""
 
     table: DataFrame  # (key, out)
     key: str
     out: str
     prior: float | None
-    small: bool
 
     def transform(self, df: DataFrame) -> DataFrame:
-        """Keys that were not seen get the overall mean."""
-        joined = attach(df, self.table, [self.key], self.small)
+        """Keys that were not seen get the overall mean.
+
+        How the tables meet follows from the key table's measured size; a key that
+        very many rows share is split by the adaptive skew join.
+        """
+        joined = df.join(self.table, [self.key], "left")
         return joined.withColumn(self.out, F.coalesce(self.out, F.lit(self.prior)))
 
     def save(self, path: str) -> None:
         self.table.write.mode("overwrite").parquet(f"{path}/table")
         local_table(
             self.table.sparkSession,
-            {"key": [self.key], "out": [self.out], "prior": [self.prior], "small": [self.small]},
+            {"key": [self.key], "out": [self.out], "prior": [self.prior]},
         ).write.mode("overwrite").parquet(f"{path}/meta")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> TargetEncoding:
         meta = spark.read.parquet(f"{path}/meta").first()
         table = spark.read.parquet(f"{path}/table")
-        return TargetEncoding(table, meta["key"], meta["out"], meta["prior"], meta["small"])
+        return TargetEncoding(table, meta["key"], meta["out"], meta["prior"])
 
 
 def _sums(df: DataFrame, keys: list[str], target: str) -> DataFrame:
@@ -133,13 +137,13 @@ def _overall_mean(sums: DataFrame) -> float | None:
 
 
 def fit_target_encoding(
-    df: DataFrame, key: str, target: str, out: str | None = None, bound: int = BROADCAST_ROWS
+    df: DataFrame, key: str, target: str, out: str | None = None
 ) -> TargetEncoding:
     """Mean of ``target`` per ``key``; one pass over ``df``."""
     out = out or f"{key}_target_encoded"
-    sums, small = settle(_sums(df, [key], target), bound)
+    sums = stage(_sums(df, [key], target))
     table = sums.select(key, F.try_divide(F.col("_s"), F.col("_n").cast("double")).alias(out))
-    return TargetEncoding(table, key, out, _overall_mean(sums), small)
+    return TargetEncoding(table, key, out, _overall_mean(sums))
 
 
 def out_of_fold_encoding(
@@ -148,7 +152,6 @@ def out_of_fold_encoding(
     target: str,
     fold: str = "fold",
     out: str | None = None,
-    bound: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Mean of ``target`` per ``key`` over the rows of all *other* folds.
 
@@ -157,7 +160,7 @@ def out_of_fold_encoding(
     overall mean. The window runs over the pre-aggregated parts, k rows per key.
     """
     out = out or f"{key}_target_encoded"
-    parts, small = settle(_sums(df, [key, fold], target), bound)
+    parts = stage(_sums(df, [key, fold], target))
     of_key = Window.partitionBy(key)
     held_out = parts.select(
         key,
@@ -167,5 +170,5 @@ def out_of_fold_encoding(
             (F.sum("_n").over(of_key) - F.col("_n")).cast("double"),
         ).alias(out),
     )
-    joined = attach(df, held_out, [key, fold], small)
+    joined = df.join(held_out, [key, fold], "left")
     return joined.withColumn(out, F.coalesce(out, F.lit(_overall_mean(parts))))

@@ -21,7 +21,8 @@ def stratified_folds(
     """Add fold numbers 0..k-1; inside a label, fold sizes differ by at most one.
 
     Rows of a label are put into seeded hash order of ``key`` and dealt out in
-    turn, so the assignment does not depend on partitioning or row order.
+    turn, so the assignment does not depend on partitioning or row order. Rows
+    without a label are dealt out among themselves and get a fold too.
     """
     if k < 2:
         raise ValueError("k must be at least 2")

@@ -44,14 +44,15 @@ def with_ordinal(
     """Add the 0-based position of a row in its group, by ``order_key`` then ``tie``.
 
     The window and the join share the keys ``(group, _bucket)``, so the rows are
-    shuffled once. Group columns must not be NULL.
+    shuffled once. NULL is a group like any other: rows are never lost.
     """
-    keyed = with_bucket(df, order_key, digits)
+    named = {f"_group_{i}": F.coalesce(F.concat(F.lit("="), F.col(g).cast("string")), F.lit("")) for i, g in enumerate(group)}
+    keyed, group = with_bucket(df.withColumns(named), order_key, digits), list(named)
     inside = Window.partitionBy(*group, "_bucket").orderBy(order_key, *tie)
     numbered = keyed.withColumn("_local", F.row_number().over(inside))
     offsets = bucket_offsets(keyed, group).drop("_n")
     return (
         numbered.join(offsets, [*group, "_bucket"], "left")
         .withColumn(out, F.col("_offset") + F.col("_local") - 1)
-        .drop("_bucket", "_local", "_offset")
+        .drop(*group, "_bucket", "_local", "_offset")
     )

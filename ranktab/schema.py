@@ -78,6 +78,14 @@ def column_type(cols: Columns, name: str) -> T.DataType:
     return T.StringType()
 
 
+def role_spelling(df: DataFrame, cols: Columns) -> DataFrame:
+    """Columns whose names differ from a role's in case alone get the role's spelling."""
+    roles = {v.lower(): v for v in vars(cols).values()}
+    taken = set(df.columns)
+    names = {c: roles[c.lower()] for c in df.columns if c.lower() in roles and roles[c.lower()] not in taken}
+    return df.withColumnsRenamed(names)
+
+
 def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema if isinstance(f.dataType, T.NumericType)]
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 import logging
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,7 +14,7 @@ from pyspark.sql import types as T
 from ranktab.operators.encoding import known_labels_only
 from ranktab.operators.quality import validate
 from ranktab.operators.shaping import fix_spelling
-from ranktab.schema import TITLE, Columns, column_type
+from ranktab.schema import TITLE, Columns, column_type, role_spelling
 
 log = logging.getLogger(__name__)
 
@@ -22,12 +23,13 @@ def read_table(spark: SparkSession, path: str, columns: Columns = TITLE) -> Data
     """CSV with a header row, or Parquet (told by the path).
 
     CSV columns are found by their header name, whatever their order, and cast
-    to their role's declared type, so no pass over the data infers a schema.
+    to their role's declared type, so no pass over the data infers a schema. A
+    role's name may differ in case; it gets the declared spelling.
     """
     if path.rstrip("/").endswith(".parquet"):
-        df = fix_spelling(spark.read.parquet(path))
+        df = role_spelling(fix_spelling(spark.read.parquet(path)), columns)
     else:
-        df = fix_spelling(spark.read.option("header", True).csv(path))
+        df = role_spelling(fix_spelling(spark.read.option("header", True).csv(path)), columns)
         df = df.select(
             *[F.col(f"`{c}`").cast(column_type(columns, c)).alias(c) for c in df.columns]
         )
@@ -48,8 +50,10 @@ def read_optional(
         log.warning("no auxiliary table configured")
         return None
     try:
-        return read_table(spark, path, columns)
-    except AnalysisException as e:
+        table = read_table(spark, path, columns)
+        table.head(1)  # a file that cannot be read fails here, not in the job
+        return table
+    except (PySparkException, Py4JJavaError) as e:
         log.warning("cannot read auxiliary table %s: %s", path, e)
         return None
 

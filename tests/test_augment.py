@@ -90,3 +90,13 @@ def test_jitter_columns_by_name_and_type(spark):
         "nitrogen_cat int, Total_NPK double, N_P_ratio double, npk_note string, DAP_score double, Nitrogen double",
     )
     assert augment.jitter_columns(df, ("nitrogen_cat",)) == ["Total_NPK", "Nitrogen"]
+
+
+def test_strata_that_read_alike_stay_apart(spark):
+    rows = [(i, *(("a:b", "c") if i % 2 else ("a", "b:c")), float(i), "x") for i in range(12)]
+    df = spark.createDataFrame(rows, "id string, crop string, soil string, v double, label string")
+    mixed = augment.mixup(df, "id", ["crop", "soil"], ["v"], "label").collect()
+    assert len(mixed) == 6 and len({r["id"] for r in mixed}) == 6
+    pairs = augment.mixup_pairs(df, "id", ["crop", "soil"]).collect()
+    sides = {c: {(int(r["id_a"]) // 2, int(r["id_b"]) // 2) for r in pairs if r["crop"] == c} for c in ("a", "a:b")}
+    assert sides["a"] != sides["a:b"]

@@ -6,7 +6,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from ranktab.operators import encoding
-from ranktab.operators.bounded import settle
 from ranktab.operators.folds import stratified_folds
 from ranktab.operators.ordinal import with_ordinal
 
@@ -52,7 +51,7 @@ def test_fold_plan_shuffles_the_rows_once(spark, samples):
     plan = stratified_folds(samples.select("id", "label"), "label", "id")
     text = plan._jdf.queryExecution().executedPlan().toString()
     rows_side = text.split("_local")[-1]
-    assert "hashpartitioning(label" in rows_side
+    assert "hashpartitioning(_group_0" in rows_side
     assert "SinglePartition" not in text
 
 
@@ -78,17 +77,14 @@ def brute_force():
     return out
 
 
-@pytest.mark.parametrize("bound", [1000, 1])
-def test_out_of_fold_encoding(coded, bound):
-    out = encoding.out_of_fold_encoding(coded, "k", "y", out="e", bound=bound)
+def test_out_of_fold_encoding(coded):
+    out = encoding.out_of_fold_encoding(coded, "k", "y", out="e")
     assert {r["id"]: r["e"] for r in out.collect()} == pytest.approx(brute_force())
     assert out.count() == len(ROWS)
 
 
-@pytest.mark.parametrize("bound", [1000, 1])
-def test_unseen_keys_get_the_mean(spark, coded, tmp_path, bound):
-    model = encoding.fit_target_encoding(coded, "k", "y", "e", bound=bound)
-    assert model.small == (bound == 1000)
+def test_unseen_keys_get_the_mean(spark, coded, tmp_path):
+    model = encoding.fit_target_encoding(coded, "k", "y", "e")
     new = spark.createDataFrame([(1, "a"), (2, "zzz"), (3, None)], "id int, k string")
     expected = {1: 2.0, 2: 16 / 6, 3: 16 / 6}
     model.save(str(tmp_path / "te"))
@@ -96,17 +92,6 @@ def test_unseen_keys_get_the_mean(spark, coded, tmp_path, bound):
         assert {r["id"]: r["e"] for r in m.transform(new).collect()} == pytest.approx(expected)
 
 
-def test_settle_keeps_all_rows_and_types(spark):
-    df = spark.createDataFrame([(1, "x", None), (2, None, 0.5)], "a int, b string, c double")
-    for bound in (10, 1):
-        table, small = settle(df, bound)
-        assert small == (bound == 10)
-        assert table.schema.simpleString() == df.schema.simpleString()
-        assert sorted(table.collect(), key=str) == sorted(df.collect(), key=str)
-    empty, small = settle(df.limit(0))
-    assert small and empty.count() == 0
-
-
 def test_labels_in_both_orders(spark):
     df = spark.createDataFrame([(3, "a"), (1, "c"), (2, "b"), (5, None)], "id int, label string")
     assert encoding.class_labels(df, "label") == ["a", "b", "c"]
@@ -130,3 +115,13 @@ def test_known_labels_only(spark):
     assert encoding.known_labels_only(aux.where("label = 'q'"), train, "label") is None
     assert encoding.known_labels_only(aux.drop("label"), train, "label") is None
     assert encoding.known_labels_only(None, train, "label") is None
+
+
+def test_rows_without_a_label_get_folds(spark):
+    rows = [(i, None if i % 5 == 0 else f"c{i % 2}") for i in range(40)]
+    df = spark.createDataFrame(rows, "id int, label string")
+    out = stratified_folds(df, "label", "id", 4).collect()
+    assert sorted(r["id"] for r in out) == list(range(40))
+    assert all(r["fold"] in range(4) for r in out)
+    sizes = [sum(r["label"] is None and r["fold"] == f for r in out) for f in range(4)]
+    assert sizes == [2, 2, 2, 2]

@@ -152,3 +152,29 @@ def test_staging_uses_the_configured_folder(spark):
     assert root == spark.conf.get("spark.checkpoint.dir")
     table = staging.stage(spark.range(5))
     assert table.count() == 5 and all(root in f for f in table.inputFiles())
+
+
+def test_an_id_spelt_otherwise_stays_an_id(spark, tmp_path):
+    from ranktab.plans import jobs
+    from ranktab.plans.learners import QUICK
+    from ranktab.schema import TITLE
+
+    big = 6110171874554102311
+    crops, soils = ["Maize", "Wheat", "Paddy"], ["Red", "Black"]
+    rows = [(big + i, 20 + i % 15, 50 + i % 20, 40, crops[i % 3], soils[i % 2], i % 40, i % 20, i % 30, f"f{i % 3}") for i in range(90)]
+    header = ["ID", "Temparature", "Humidity", "Moisture", "Crop Type", "Soil Type", "Nitrogen", "Potassium", "Phosphorous", "Fertilizer Name"]
+    for name, n in (("train", 10), ("test", 9)):
+        lines = [",".join(header[:n]), *(",".join(map(str, r[:n])) for r in rows)]
+        (tmp_path / f"{name}.csv").write_text("\n".join(lines))
+    data = tables.load_dataset(spark, str(tmp_path / "train.csv"), str(tmp_path / "test.csv"))
+    assert "id" in data.train.columns and "ID" not in data.train.columns
+    for augmented in (False, True):
+        config = jobs.JobConfig(columns=TITLE, size=QUICK, folds=2, augment=augmented)
+        out = jobs.run_job(data.train, data.test, "single", config).collect()
+        assert {str(r["id"]) for r in out} == {str(r[0]) for r in rows}
+
+
+def test_a_corrupt_auxiliary_table_is_none(spark, tmp_path):
+    bad = tmp_path / "bad.parquet"
+    bad.write_bytes(b"not parquet at all")
+    assert tables.read_optional(spark, str(bad)) is None
