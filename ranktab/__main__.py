@@ -13,7 +13,7 @@ from ranktab.sources.sinks import save_results
 from ranktab.sources.tables import load_dataset
 
 #: ``competitive`` is the stacking job under its usual name.
-CHOICES = ("competitive", "ranking", "meta-stacking", "snapshot", "single", "evaluate", "search")
+CHOICES = ("competitive", "ranking", "meta-stacking", "snapshot", "single", "final", "evaluate", "search")
 ALIASES = {"competitive": "stacking", "meta-stacking": "stacking"}
 
 

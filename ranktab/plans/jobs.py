@@ -31,24 +31,33 @@ from ranktab.plans.features import (
 )
 from ranktab.plans.learners import (
     LABEL,
+    LINEAR_FEATURES,
     QUICK,
-    CandidateRanker,
     Preparation,
     Size,
     add_proba,
-    boosted,
+    fit_all,
     fit_preparation,
     fit_snapshots,
     forest,
     predict_vote,
+    rankers,
+)
+from ranktab.plans.search import (
+    SearchConfig,
+    SearchResult,
+    evaluate_stack,
+    final_candidates,
+    search_features,
+    select_model,
+    vector_names,
 )
-from ranktab.plans.search import SearchConfig, SearchResult, evaluate_stack, search_features
 from ranktab.plans.stacking import Stacking
 from ranktab.schema import SNAKE, Columns, numeric_columns
 from ranktab.sources.sinks import append_experiment, save_feature_tables
 from ranktab.sources.staging import stage
 
-MODES = ("stacking", "ranking", "snapshot", "single")
+MODES = ("stacking", "ranking", "snapshot", "single", "final")
 
 
 @dataclass(frozen=True)
@@ -157,16 +166,20 @@ def prepare(rows: Enriched, config: JobConfig) -> Prepared:
 
 
 def fit_mode(data: Prepared, mode: str, config: JobConfig):
-    """The fitted model of a mode; ``snapshot`` gives a list of models."""
-    prep, size, n = data.prep, config.size, len(data.labels)
+    """The fitted model of a mode; ``snapshot`` and ``ranking`` give a list of models."""
+    prep, size = data.prep, config.size
     if mode == "stacking":
         return Stacking(prep, config.folds, size).fit(data.train)
     if mode == "ranking":
-        return CandidateRanker(boosted(size, prep.max_bins), n).fit(data.train)
+        return list(fit_all(rankers(size, prep), data.train, size.threads).values())
     if mode == "snapshot":
         return fit_snapshots(data.train, prep, size, config.snapshots)
     if mode == "single":
         return forest(size, prep.max_bins).fit(data.train)
+    if mode == "final":
+        width = len(vector_names(data.train, LINEAR_FEATURES))
+        models = final_candidates(prep, size, width, config.folds)
+        return select_model(data.train, models, config.folds).model
     raise ValueError(f"unknown mode {mode!r}; one of {MODES}")
 
 
@@ -217,8 +230,10 @@ def run_job(
     return top_k_result(scored, data.labels, c.id, c.label, k=config.top)
 
 
-def evaluate_job(train: DataFrame, config: JobConfig = JobConfig(), inner: int = 5) -> DataFrame:
-    """One row: mean and population deviation of MAP@3 and accuracy over outer folds.
+def evaluate_job(
+    train: DataFrame, config: JobConfig = JobConfig(), inner: int = 5, per_fold: bool = False
+) -> DataFrame:
+    """Scores of each outer fold with ``per_fold``; else one row: mean and population deviation of MAP@3 and accuracy over outer folds.
 
     Inner folds are dealt among the rows of each outer training part.
     """
@@ -227,10 +242,10 @@ def evaluate_job(train: DataFrame, config: JobConfig = JobConfig(), inner: int =
     data = prepare(rows, replace(config, augment=False))
     both = data.train.withColumn("_stratum", F.concat_ws("|", F.col(LABEL), "fold"))
     both = stratified_folds(both, "_stratum", c.id, inner, config.seed + 1, "inner_fold")
-    per_fold = evaluate_stack(
+    scores = evaluate_stack(
         stage(both.drop("_stratum")), data.prep, config.evaluation_folds, inner, config.size
     )
-    return mean_and_spread(per_fold, ["map_at_3", "accuracy"])
+    return scores if per_fold else mean_and_spread(scores, ["map_at_3", "accuracy"])
 
 
 def run_search(

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.ml import Estimator
 from pyspark.sql import functions as F
 
 from ranktab.__main__ import main
@@ -17,6 +18,7 @@ from ranktab.plans.learners import (
     fit_snapshots,
     forest,
     predict_vote,
+    rankers,
 )
 from ranktab.plans.stacking import Stacking, StackingModel
 from ranktab.sources.sinks import load_feature_tables, load_model, save_model
@@ -236,3 +238,40 @@ def test_command_line(spark, rows, tmp_path):
     main([*paths, *rest, "--mode", "single"])
     written = spark.read.option("header", True).csv(str(tmp_path / "out" / "submission.csv"))
     assert written.count() == test.count() and written.columns == ["id", "label"]
+
+
+class Breaks(Estimator):
+    """A candidate that can't be fitted."""
+
+    def _fit(self, dataset):
+        raise ValueError("no")
+
+
+def test_a_failing_candidate_scores_nothing(data):
+    models = {"breaks": Breaks(), "forest": forest(QUICK, data.prep.max_bins)}
+    chosen = search.select_on(data.train.where("fold = 0"), data.train.where("fold = 1"), models)
+    assert chosen.best == "forest" and chosen.scores["breaks"] == 0.0 and chosen.scores["forest"] > 0.3
+    assert search.select_model(data.train, models, 2).scores["breaks"] == 0.0
+    with pytest.raises(ValueError):
+        search.select_on(data.train, data.train, {"breaks": Breaks()})
+
+
+def test_rankers_of_three_kinds_vote(spark, data, truth, tmp_path):
+    models = rankers(QUICK, data.prep)
+    fitted = [m.fit(data.train) for m in models.values()]
+    assert len(fitted) == 3
+    for i, model in enumerate(fitted):
+        save_model(model, str(tmp_path / f"r{i}"))
+        again = load_model(spark, str(tmp_path / f"r{i}"))
+        one, two = (add_proba(m, data.test, 7).orderBy("id").first()["proba"] for m in (model, again))
+        assert one == two and sum(one) == pytest.approx(1)
+    voted = predict_vote(fitted, data.test, 7)
+    assert voted.count() == data.test.count()
+    with pytest.raises(ValueError):
+        CandidateRanker(boosted(QUICK, 32), 1000)
+
+
+def test_the_stack_knows_its_meta_score(data):
+    model = Stacking(data.prep, 2, QUICK).fit(data.train)
+    assert 0.3 < model.getOrDefault("metaScore") <= 1
+
