@@ -64,12 +64,11 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tu
     return starts, np.flatnonzero(closes) + 1, np.searchsorted(starts, offsets)
 
 
-def words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.DictionaryArray:
-    """The byte runs as a dictionary array of binary values."""
-    lengths = ends - starts
+def words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, is_word: np.ndarray) -> pa.DictionaryArray:
+    """The runs of word bytes, as ``word_spans`` found them, as a dictionary array of binary values."""
     offsets = np.zeros(len(starts) + 1, np.int64)
-    np.cumsum(lengths, out=offsets[1:])
-    return rebuilt(data[ragged(starts, lengths)], offsets).dictionary_encode()
+    np.cumsum(ends - starts, out=offsets[1:])
+    return rebuilt(data[is_word[data]], offsets).dictionary_encode()
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

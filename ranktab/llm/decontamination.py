@@ -59,7 +59,7 @@ def term_codes(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
     data, offsets = content(texts)
     data = LOWER[data]
     starts, ends, first = word_spans(data, offsets, WORD)
-    return words(data, starts, ends), np.diff(first)
+    return words(data, starts, ends, WORD), np.diff(first)
 
 
 def _one_list(values: pa.Array) -> pa.Array:

@@ -27,6 +27,7 @@ STATISTICS = (
     "distinct_words", "distinct_pairs", "immediate_repeats", "long_words",
 )
 LIMIT = 60.0
+SLICE = 2 << 20  # bytes of text whose words are held at a time
 
 
 def statistics(texts: pa.Array) -> np.ndarray:
@@ -43,7 +44,7 @@ def statistics(texts: pa.Array) -> np.ndarray:
     starts, ends, first = word_spans(data, offsets, ~BLANK)
     count = np.diff(first).astype(float)
     doc = np.repeat(np.arange(n), np.diff(first))
-    code = words(data, starts, ends).indices.to_numpy().astype(np.int64) if len(starts) else np.zeros(0, np.int64)
+    code = words(data, starts, ends, ~BLANK).indices.to_numpy().astype(np.int64) if len(starts) else np.zeros(0, np.int64)
     top = int(code.max()) + 1 if len(code) else 1
     total = lambda where: np.bincount(where, minlength=n).astype(float)
     distinct = total(np.unique(doc * top + code) // top)
@@ -155,7 +156,7 @@ def _statistics_frame(rows: DataFrame, keep: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in sliced(batch, "text"):
+            for part, texts in sliced(batch, "text", SLICE):
                 x = statistics(texts)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(x), pa.list_(pa.float64()))], names=[keep, "x"])
 
@@ -181,7 +182,7 @@ def quality_scores(docs: DataFrame, model: Discriminant | float, id_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, texts in sliced(batch, "text"):
+            for rows, texts in sliced(batch, "text", SLICE):
                 score = np.full(len(texts), model) if isinstance(model, float) else model.score(statistics(texts))
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(score, pa.float64())], names=["doc_id", "score"])
 
@@ -206,7 +207,7 @@ def good_documents(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> Da
 
 
 def _portions(texts: pa.Array) -> Iterator[pa.Array]:
-    for _, part in sliced(pa.RecordBatch.from_arrays([texts], names=["text"]), "text"):
+    for _, part in sliced(pa.RecordBatch.from_arrays([texts], names=["text"]), "text", SLICE):
         yield part
 
 

@@ -50,7 +50,7 @@ class WordEncoder:
         if not (data == ord("<")).any():  # no special token: lower case first, for fewer distinct words
             data = LOWER[data]
         starts, ends, first = word_spans(data, offsets, ~BLANK)
-        coded = words(data, starts, ends)
+        coded = words(data, starts, ends, ~BLANK)
         ids = self._words(coded.dictionary.to_pylist())
         lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         flat = np.frombuffer(b"".join(ids), "<u4")

@@ -40,7 +40,7 @@ def _distinct_words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray,
     """Distinct words as written, the code of each word, its document, and words per document."""
     data, offsets = content(texts)
     starts, ends, first = word_spans(data, offsets, LETTER)
-    coded = words(data, starts, ends)
+    coded = words(data, starts, ends, LETTER)
     n = np.diff(first)
     return [w.decode("utf-8", "replace") for w in coded.dictionary.to_pylist()], coded.indices.to_numpy().astype(np.int64), np.repeat(np.arange(len(n)), n), n
 
