@@ -183,17 +183,17 @@ def refine(data: np.ndarray, length: int) -> np.ndarray:
     for k in range(reach):
         value = value << np.uint64(8) | padded[k : k + n].astype(np.uint64)
     _, bucket = np.unique(value, return_inverse=True)
-    while reach < length:
+    top = int(bucket.max()) + 1 if n else 0
+    active = np.arange(n)
+    while reach < length and len(active):
         offset = min(reach, length - reach)
         later = np.full(n, -1, np.int64)
         later[: n - offset] = bucket[offset:] if offset < n else 0
-        shared = np.flatnonzero(np.bincount(bucket)[bucket] > 1)
-        pairs = bucket[shared] * (n + 1) + later[shared] + 1
-        top = int(bucket.max()) + 1 if n else 0
+        active = active[np.bincount(bucket[active], minlength=top)[bucket[active]] > 1]
+        pairs = bucket[active] * (top + 1) + later[active] + 1
         _, finer = np.unique(pairs, return_inverse=True)
-        bucket = bucket.copy()
-        bucket[shared] = top + finer
-        _, bucket = np.unique(bucket, return_inverse=True)
+        bucket[active] = top + finer
+        top += int(finer.max()) + 1 if len(finer) else 0
         reach += offset
     return bucket
 
