@@ -24,10 +24,12 @@ from ranktab.sources.staging import stage
 
 LENGTH = 100
 GRAM = 20
-CHUNK = 1 << 22  # windows whose anchors are sought at a time
+CHUNK = 1 << 20  # windows whose anchors are sought at a time
 PLACE = np.uint64((1 << 23) - 1)  # the lowest bits of a key hold the place in the chunk
-HELD_ANCHORS = 4 << 20  # anchors that a task combines before it sends them on
-HELD_BYTES = 24 << 20  # text around anchors, likewise
+HELD_ANCHORS = 1 << 20  # anchors that a task combines before it sends them on
+HELD_BYTES = 16 << 20  # text around anchors, likewise
+REFINED_BYTES = 2 << 20  # text whose suffixes are sorted together
+HELD_SPANS = 100_000  # spans that wait to be sent
 HOT = 50_000  # texts that share an anchor; beyond, windows go one by one
 FIRST_ID = -(1 << 63)  # the place of a null id in the order
 
@@ -289,7 +291,7 @@ def _spans(texts: DataFrame, length: int, gram: int) -> DataFrame:
                                 both = xxhash.xxh3_128_intdigest(raw[p : p + length])
                                 halves = (both >> 64) - (1 << 63), (both & ((1 << 64) - 1)) - (1 << 63)
                                 put((*halves, None), (key, label, p - zero, p + length - zero))
-                        if size > HELD_BYTES or len(done) > 500_000:
+                        if size > HELD_BYTES or len(done) > HELD_SPANS:
                             yield combined()
         yield combined()
 
@@ -343,7 +345,7 @@ def _spans(texts: DataFrame, length: int, gram: int) -> DataFrame:
             for x, *row in zip(*columns):
                 if x != before and group:
                     close()
-                    if size > HELD_BYTES // 4 or len(out) > 500_000:
+                    if size > REFINED_BYTES or len(out) > HELD_SPANS:
                         yield resolved()
                 before = x
                 group.append(tuple(row))
