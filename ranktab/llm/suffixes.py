@@ -26,8 +26,9 @@ LENGTH = 100
 GRAM = 20
 CHUNK = 1 << 20  # windows whose anchors are sought at a time
 PLACE = np.uint64((1 << 23) - 1)  # the lowest bits of a key hold the place in the chunk
+SLICE = 4 << 20  # bytes of text whose anchors are sought at a time
 HELD_ANCHORS = 1 << 20  # anchors that a task combines before it sends them on
-HELD_BYTES = 16 << 20  # text around anchors, likewise
+HELD_BYTES = 8 << 20  # text around anchors, likewise
 REFINED_BYTES = 2 << 20  # text whose suffixes are sorted together
 HELD_SPANS = 100_000  # spans that wait to be sent
 HOT = 50_000  # texts that share an anchor; beyond, windows go one by one
@@ -125,7 +126,7 @@ def _repeated_anchors(texts: DataFrame, length: int, gram: int) -> DataFrame:
 
         size = 0
         for batch in batches:
-            for rows, part in sliced(batch, "text"):
+            for rows, part in sliced(batch, "text", SLICE):
                 tag = rows.column(0).to_numpy()
                 fresh = np.array([t not in seen and not seen.add(t) for t in tag.tolist()], bool)
                 if len(seen) > 1_000_000:
@@ -271,7 +272,7 @@ def _spans(texts: DataFrame, length: int, gram: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip([wrapped, *columns[1:]], AROUND)], schema=AROUND)
 
         for batch in batches:
-            for rows, part in sliced(batch, "text"):
+            for rows, part in sliced(batch, "text", SLICE):
                 data, offsets = content(part)
                 h, doc, low, high = anchors(data, offsets, length, gram)
                 k, tag = (rows.column(rows.schema.get_field_index(n)).to_numpy() for n in ("k", "tag"))
@@ -376,8 +377,12 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot
     texts = stage(base.select("k", "tag", F.unhex(F.sha2("text", 256)).alias("digest")))
     first = texts.groupBy("digest").agg(F.min("k").alias("first"), F.min("tag").alias("tag"))
     shared = stage(_repeated_anchors(base, length, gram))
-    crowded = shared.groupBy("h").count().where(F.col("count") > hot).select("h", F.lit(True).alias("crowded"))
-    lists = shared.join(crowded, "h", "left").groupBy("tag").agg(
+    crowded = stage(shared.groupBy("h").count().where(F.col("count") > hot).select("h", F.lit(True).alias("crowded")))
+    if crowded.isEmpty():  # nothing to look up
+        flagged = shared.withColumn("crowded", F.lit(None).cast("boolean"))
+    else:
+        flagged = shared.join(crowded, "h", "left")
+    lists = flagged.groupBy("tag").agg(
         F.collect_list(F.when(F.col("crowded").isNull(), F.col("h"))).alias("few"), F.collect_list(F.when(F.col("crowded"), F.col("h"))).alias("many")
     )
     lists = stage(lists.join(first.select(F.col("first").alias("k"), "tag"), "tag"))
@@ -390,7 +395,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, whole in sliced(batch, "text"):
+            for part, whole in sliced(batch, "text", SLICE):
                 data, offsets = content(whole)
                 removed, runs, kept = [], [], []
                 raw = data.tobytes()
