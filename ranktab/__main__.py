@@ -10,6 +10,7 @@ from ranktab.plans.learners import FULL, QUICK
 from ranktab.schema import SNAKE, TITLE
 from ranktab.session import build_session
 from ranktab.sources.sinks import save_results
+from ranktab.sources.staging import staged_scope
 from ranktab.sources.tables import load_dataset
 
 #: ``competitive`` is the stacking job under its usual name.
@@ -40,6 +41,11 @@ def main(argv: list[str] | None = None) -> None:
         top=args.top,
         calibrate=args.calibrate,
     )
+    with staged_scope(spark):
+        _run(spark, args, columns, config)
+
+
+def _run(spark, args: argparse.Namespace, columns, config: jobs.JobConfig) -> None:
     data = load_dataset(spark, args.train, args.test, args.original, columns)
     if args.mode == "evaluate":
         jobs.evaluate_job(data.train, config).show(truncate=False)

@@ -8,10 +8,30 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def staged_scope(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables staged inside when it ends; what is kept must be written before."""
+    made: list[str] = []
+    _scopes.append(made)
+    try:
+        yield
+    finally:
+        _scopes.remove(made)
+        hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+        for path in made:
+            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(hadoop).delete(place, True)
+
+
 def staging_root(spark: SparkSession) -> str:
     """The cluster's shared folder; a temporary one only in local mode without a setting."""
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -30,5 +50,7 @@ def staging_root(spark: SparkSession) -> str:
 def stage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the staging folder and read it back."""
     path = f"{staging_root(df.sparkSession)}/staged-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)

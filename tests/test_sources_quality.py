@@ -178,3 +178,13 @@ def test_a_corrupt_auxiliary_table_is_none(spark, tmp_path):
     bad = tmp_path / "bad.parquet"
     bad.write_bytes(b"not parquet at all")
     assert tables.read_optional(spark, str(bad)) is None
+
+
+def test_a_scope_deletes_what_was_staged_in_it(spark):
+    before = staging.stage(spark.range(3))
+    with staging.staged_scope(spark):
+        inside = staging.stage(spark.range(4))
+        assert inside.count() == 4
+        folder = Path(inside.inputFiles()[0].removeprefix("file:")).parent
+    assert not folder.exists()
+    assert before.count() == 3
