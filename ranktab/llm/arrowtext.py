@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +12,14 @@ import pyarrow.compute as pc
 SLICE_BYTES = 8 << 20
 
 
+def _give_back() -> None:
+    """Return freed memory to the system: a worker lives for many tasks beside the executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def texts_of(column: pa.Array) -> pa.Array:
     """A text column as large strings; null becomes the empty text."""
     if isinstance(column, pa.ChunkedArray):
@@ -28,6 +37,7 @@ def sliced(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterat
         stop = max(start + 1, int(np.searchsorted(ends, before + limit, side="right")))
         yield batch.slice(start, stop - start), texts.slice(start, stop - start)
         start = stop
+        _give_back()
 
 
 def content(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
