@@ -24,7 +24,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def first_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without lines that repeat or nearly repeat earlier ones; ``n_chars`` follows the text."""
     ship(spark)
-    left = lines.dedup_lines(docs, threshold=2, least_chars=16)
+    left = lines.dedup_lines(docs, threshold=2)
     counted = {"n_chars": F.char_length("text").cast("long")} if "n_chars" in docs.columns else {}
     return left.withColumns(counted).select(*docs.columns)
 

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from ranktab.sources.staging import stage
 
 THRESHOLD = 2
-LEAST_CHARS = 16
+LEAST_CHARS = 1
+LEAST_BLANK = 16  # shorter lines of white space alone part paragraphs and stay
 FIRST_ID = -(1 << 63)
 COUNTED = "eaionrtshdlugwbcmfpy "  # characters whose numbers are compared first
 SENT_KEYS = 1_000_000  # keys that may be sent to every task (16 MB); more are joined by a shuffle
@@ -72,12 +73,12 @@ def edit_expression(a: str, b: str, threshold: int) -> str:
 
 
 def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = LEAST_CHARS) -> DataFrame:
-    """Lines of at least ``least_chars`` characters: document (``k``, ``tag``), ``pos`` from 0, ``line``, its length and its digests."""
+    """Lines of at least ``least_chars`` characters, without short blank ones: document (``k``, ``tag``), ``pos`` from 0, ``line``, its length and its digests."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     # Digests of a text are made below the generator, once.
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(FIRST_ID)).alias("k"), F.xxhash64(text).alias("tag"), F.split(text, "\n").alias("lines"))
     rows = rows.select("k", "tag", F.posexplode("lines").alias("pos", "line"))
-    rows = rows.withColumn("n", F.char_length("line")).where(F.col("n") >= least_chars)
+    rows = rows.withColumn("n", F.char_length("line")).where((F.col("n") >= least_chars) & ((F.col("n") >= LEAST_BLANK) | F.col("line").rlike(r"\S")))
     return rows.select("k", "tag", "pos", "line", "n", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("second"), "line").alias("h2"))
 
 
@@ -85,6 +86,7 @@ def edit_links(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """Pairs of different lines within ``threshold`` edits: digests ``a1``, ``a2``, ``b1``, ``b2`` and ``edits``.
 
     ``lines`` needs ``line``, ``n``, ``h1``, ``h2``; repeated lines meet as one. Each pair comes once.
+    Lines of at most ``threshold`` characters have no links, as any two of them would be within it.
     """
     keyed = with_segment_keys(lines.select("h1", "h2", "line", "n"), threshold)
     # Counted before the shuffle, so that a line that stands in very many documents is one row per task.
@@ -142,7 +144,8 @@ def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, least_chars: int =
 
     Lines end at line feeds and are compared over all documents. A line goes when an equal one, or a
     different one within ``threshold`` edits, first stands earlier: in a document with a smaller id, or
-    earlier in the same one. Decisions come from the input, not from what is left. Lines of fewer than ``least_chars`` characters stay. A
+    earlier in the same one. Decisions come from the input, not from what is left. Lines of fewer than ``least_chars`` characters
+    and blank ones of fewer than ``LEAST_BLANK`` stay; those of at most ``threshold`` characters go for equal ones only. A
     document whose lines all go keeps its row, with an empty text. A null text stays null; a null id
     comes before all others; rows with one id are compared by places alone, so a row given twice
     stays as it is. The columns ``n_lines``, ``n_removed`` and ``n_links`` (different lines within the

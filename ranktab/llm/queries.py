@@ -63,7 +63,7 @@ def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of each document, those that repeat others within two edits, and what is left."""
-    left = lines.dedup_lines(table(spark, sf_dir, "documents"), threshold=2, least_chars=16)
+    left = lines.dedup_lines(table(spark, sf_dir, "documents"), threshold=2)
     kept = F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")
     return left.select("doc_id", "n_lines", "n_removed", "n_links", kept)
 
