@@ -8,6 +8,8 @@ Findings that no rule labels get their answer from the forest alone.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -18,6 +20,7 @@ from ranktab.sources.staging import stage
 
 LEAST_CHARS = 12
 FIT_FINDINGS = 20_000  # labelled findings that the forest is fitted on, about
+HASH_PARTS = 1 << 40  # a share of very many findings is still a number of parts
 DICTIONARY = 200  # frequent words that count for dictionary coverage
 RUN = f"[A-Za-z0-9+/_\\-]{{{LEAST_CHARS},}}={{0,2}}"
 NAMED = r"(?i)(passw|pwd|secret|token|api_?key|apikey|access_?key|auth|credential|private_?key)"
@@ -131,18 +134,35 @@ def _assembled(rows: DataFrame) -> DataFrame:
     return VectorAssembler(inputCols=[f"f_{f}" for f in FEATURES], outputCol="features").transform(rows)
 
 
+def class_sample(known: DataFrame, counts: dict[float, int], rows: int) -> DataFrame:
+    """About ``rows`` of the ``known`` findings of two classes: a smaller class whole, up to half of the rows, else a share by hash."""
+    bound = {k: max(rows // 2, rows - sum(n for o, n in counts.items() if o != k)) for k, n in counts.items()}
+    place = F.pmod(F.xxhash64("doc_id", "word", "part", "value"), F.lit(HASH_PARTS))
+    wanted = F.lit(False)
+    for k, n in counts.items():
+        wanted = wanted | ((F.col("label") == k) & (place < max(1, int(HASH_PARTS * min(1.0, bound[k] / n)))))
+    return known.where(wanted)
+
+
 def fit_forest(labelled: DataFrame, rows: int = FIT_FINDINGS, trees: int = 40, depth: int = 7) -> RandomForestClassificationModel | float:
     """A forest on about ``rows`` labelled findings (features and ``label``), taken by a hash of the finding.
 
-    Classes weigh alike. Without findings of both classes: the share of secrets, or 0.5 without any.
+    Each class has half of the rows, and what the other leaves of its half; a class that fits is
+    taken whole. Classes weigh alike. Without findings of both classes: the share of secrets, or 0.5 without any.
     """
     known = labelled.where(F.col("label").isNotNull())
     counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     total = sum(counts.values())
     if len(counts) < 2:
         return counts.get(1.0, 0) / total if total else 0.5
-    some = known.where(F.pmod(F.xxhash64("doc_id", "word", "part", "value"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, rows / total)))
-    weight = F.when(F.col("label") == 1, total / (2 * counts[1.0])).otherwise(total / (2 * counts[0.0]))
+    some = stage(class_sample(known, counts, rows))
+    taken = {r["label"]: r["count"] for r in some.groupBy("label").count().collect()}
+    if len(taken) < 2:  # a class whose many rows share a few hashes: any of them
+        left = [known.where(F.col("label") == k).limit(rows // 2) for k in counts if k not in taken]
+        some = stage(reduce(DataFrame.unionByName, left, some))
+        taken = {r["label"]: r["count"] for r in some.groupBy("label").count().collect()}
+    used = sum(taken.values())
+    weight = F.when(F.col("label") == 1, used / (2 * taken[1.0])).otherwise(used / (2 * taken[0.0]))
     forest = RandomForestClassifier(featuresCol="features", labelCol="label", weightCol="weight", numTrees=trees, maxDepth=depth, seed=7)
     return forest.fit(_assembled(some.withColumn("weight", weight)))
 
