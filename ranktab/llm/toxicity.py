@@ -51,14 +51,24 @@ def _stems(word: str) -> list[str]:
 
 
 def _sketches(distinct: list[str], code: np.ndarray, doc: np.ndarray, size: int) -> np.ndarray:
-    """The least hash of the four-word shingles of each text: near copies mostly share it."""
+    """The least hash of the four-word shingles of each text: near copies mostly share it. Of a text
+    with fewer words, a hash of them all in order; of one without words, 0."""
     import xxhash
 
     out = np.zeros(size, np.uint64)
-    if len(code) < 4:
+    if not len(code):
         return out
     h = np.array([xxhash.xxh64_intdigest(w.lower()) for w in distinct], np.uint64)[code]
     odd = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
+    n = np.bincount(doc, minlength=size)
+    first = np.cumsum(n) - n
+    for k in (1, 2, 3):
+        short = np.flatnonzero(n == k)
+        for i in range(k):
+            out[short] = (out[short] + h[first[short] + i]) * odd[i]
+            out[short] ^= out[short] >> np.uint64(31)
+    if len(code) < 4:
+        return out
     mixed = h[:-3] * odd[0] + h[1:-2] * odd[1] + h[2:-1] * odd[2] + h[3:] * odd[3]
     mixed ^= mixed >> np.uint64(31)
     inside = doc[:-3] == doc[3:]
@@ -71,7 +81,8 @@ def _sketches(distinct: list[str], code: np.ndarray, doc: np.ndarray, size: int)
 
 def stem_counts(rows: DataFrame) -> DataFrame:
     """How many texts of each label hold each stem: ``stem``, ``clean``, ``toxic``. Whole texts are
-    read; toxic near copies count as one, lest what a copied text says looks like usage."""
+    read; toxic near copies count as one, lest what a copied text says looks like usage. The stem ``""``
+    stands for all texts, those without words too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -84,7 +95,7 @@ def stem_counts(rows: DataFrame) -> DataFrame:
                 bounds = np.concatenate([[0], np.cumsum(n)]).tolist()
                 stems = [_stems(w) for w in distinct]
                 for d, (a, b) in enumerate(zip(bounds, bounds[1:])):
-                    own = {s for c in set(code[a:b].tolist()) for s in stems[c]}
+                    own = {"", *(s for c in set(code[a:b].tolist()) for s in stems[c])}
                     for s in own:
                         if toxic[d]:
                             held.setdefault(s, set()).add(sketch[d])
@@ -233,13 +244,13 @@ def fit_linear(x: np.ndarray, p: np.ndarray, ridge: float = 1.0) -> np.ndarray:
 def choose_stems(counts: DataFrame, toxic: int, clean: int) -> list[str]:
     """Stems that speak for toxic texts, at most ``STEMS``: by log odds times evidence.
 
-    Of a stem and a longer one that starts with it, the shorter stays if it is as pure, and the
+    ``toxic`` counts as ``stem_counts`` does: near copies once. Of a stem and a longer one that starts with it, the shorter stays if it is as pure, and the
     longer if it holds four fifths of the toxic texts and less than half of the clean ones.
     """
     ratio = ((F.col("toxic") + 0.5) / (toxic + 1)) / ((F.col("clean") + 0.5) / (clean + 1))
     value = F.log(ratio) * F.sqrt("toxic")
     least = max(LEAST_TEXTS, LEAST_SHARE * toxic)
-    found = counts.where((F.col("toxic") >= least) & (ratio >= LEAST_RATIO)).orderBy(value.desc(), "stem").limit(8 * STEMS).collect()
+    found = counts.where((F.col("stem") != "") & (F.col("toxic") >= least) & (ratio >= LEAST_RATIO)).orderBy(value.desc(), "stem").limit(8 * STEMS).collect()
     out = {r["stem"] for r in found}
     for long in found:
         for short in found:
@@ -261,7 +272,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows:
     n = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     if len(n) < 2:
         return float(n.get(1, 0) > 0)
-    voters = Voters(choose_stems(stem_counts(sample), n[1], n[0]))
+    counted = stage(stem_counts(sample))
+    every = counted.where(F.col("stem") == "").first()
+    voters = Voters(choose_stems(counted, every["toxic"], every["clean"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
