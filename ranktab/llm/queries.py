@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ranktab.llm import decontamination, lines, packing, quality, secrets, simhash, suffixes, token_counts, toxicity, vectors
+from ranktab.llm import decontamination, exact, lines, packing, quality, secrets, simhash, suffixes, token_counts, toxicity, vectors
 from ranktab.llm.shipping import ship
 
 
@@ -86,6 +86,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group of equal texts of every row of ``documents``; the row with the largest id stays."""
+    return exact.exact_duplicates(table(spark, sf_dir, "documents"), keep="largest")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -99,9 +104,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_toxicity,
         op9_suffix_array_dedup,
         op10_token_counts,
+        op11_exact_dedup,
     )
 }
 SQL: dict[str, str] = {
+    "op11_exact_dedup": """
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+        g AS (SELECT t, max(doc_id) AS keep_id, CAST(count(*) AS BIGINT) AS group_size FROM d GROUP BY t)
+        SELECT d.doc_id, g.keep_id, g.group_size, coalesce(d.doc_id = g.keep_id, false) AS kept, sha256(d.t) AS text_sha256
+        FROM d JOIN g ON d.t = g.t""",
     "op6_exact_top_k": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
