@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ranktab.llm import decontamination, exact, lines, packing, quality, secrets, simhash, suffixes, token_counts, toxicity, vectors
+from ranktab.llm import decontamination, exact, lines, packing, quality, secrets, simhash, suffixes, token_counts, toxicity, vectors, whitening
 from ranktab.llm.shipping import ship
 
 
@@ -91,6 +91,11 @@ def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened coordinates of every whole vector of ``embeddings`` on its 32 leading components."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=32)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -105,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_suffix_array_dedup,
         op10_token_counts,
         op11_exact_dedup,
+        op13_embedding_whitening,
     )
 }
 SQL: dict[str, str] = {
