@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ranktab.llm import decontamination, exact, lines, packing, quality, secrets, simhash, suffixes, token_counts, toxicity, vectors, whitening
+from ranktab.llm import decontamination, exact, lines, packing, periodic, quality, secrets, simhash, suffixes, token_counts, toxicity, vectors, whitening
 from ranktab.llm.shipping import ship
 
 
@@ -91,6 +91,48 @@ def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def planted_words(words: Column) -> Column:
+    """Words of a ``documents`` row after the stated repetition: a tenth of the texts (by crc32 of the id) repeat a stretch.
+
+    ``words`` must be a column, not an expression: the lambda reads it once per word.
+    """
+    n = F.size(words)
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+    a = g % n
+    p = F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8))
+    repeated = F.transform(words, lambda w, i: F.when(i >= a, F.element_at(words, (a + (i - a) % p + 1).cast("int"))).otherwise(w))
+    return F.when((h % 10 == 0) & (n > 0), repeated).otherwise(words)
+
+
+def _before(x: Column, y: Column) -> Column:
+    """Order of runs: greater length / period first (exact, by cross products), then start, then period."""
+    lx, ly = x["length"] * y["period"], y["length"] * x["period"]
+    return (
+        F.when(lx > ly, -1).when(lx < ly, 1).when(x["start"] < y["start"], -1).when(x["start"] > y["start"], 1)
+        .when(x["period"] < y["period"], -1).when(x["period"] > y["period"], 1).otherwise(0)
+    )
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of repeated words in every text of ``documents`` after the stated repetition, and what collapsing them leaves."""
+    docs = table(spark, sf_dir, "documents")
+    listed = docs.select("doc_id", periodic.word_lists(docs).alias("words"))
+    found = periodic.periodic_runs(listed.select("doc_id", planted_words(F.col("words")).alias("words")))
+    best = F.try_element_at(F.array_sort("runs", _before), F.lit(1))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        best["start"].alias("start"),
+        best["length"].alias("length"),
+        best["period"].alias("period"),
+        F.floor(best["length"] * 1000 / best["period"]).cast("long").alias("exponent_milli"),
+        F.sha2(F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, F.lit("\n")).otherwise(F.lit(""))), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whitened coordinates of every whole vector of ``embeddings`` on its 32 leading components."""
     return whitening.whiten(table(spark, sf_dir, "embeddings"), components=32)
@@ -110,6 +152,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_suffix_array_dedup,
         op10_token_counts,
         op11_exact_dedup,
+        op12_periodic_runs,
         op13_embedding_whitening,
     )
 }
