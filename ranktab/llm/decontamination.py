@@ -327,7 +327,10 @@ def contamination(
 def uncontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of ``docs``, all columns, that hold no window of the benchmark.
 
-    Rows that share a ``doc_id`` go together when one of them is hit; rows without one likewise.
+    Decided row by row, whatever the ids: a row without ``doc_id``, or one that shares its id with a
+    hit row, stays when its own text is clean. Rows are told apart by their place in the scan, so
+    ``docs`` should be a stored table (a retried task reads it again alike); a column named ``_dc_row`` is replaced.
     """
-    hit = contamination(docs, benchmark, window).where("n_hit > 0").select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit, docs["doc_id"].cast("long").eqNullSafe(hit["_hit"]), "left_anti")
+    tagged = docs.withColumn("_dc_row", F.monotonically_increasing_id())
+    hit = contamination(tagged, benchmark, window, id_col="_dc_row").where("n_hit > 0").select(F.col("doc_id").alias("_dc_row"))
+    return tagged.join(hit, "_dc_row", "left_anti").drop("_dc_row")

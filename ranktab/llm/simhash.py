@@ -189,11 +189,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, id_col:
 
 
 def first_of_each_group(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
-    """The rows of ``docs``, all columns, whose document has the smallest ``doc_id`` of its component.
+    """The rows of ``docs``, all columns, one of each group whose fingerprints connect.
 
-    Rows that share a ``doc_id`` are one document and stay or go together; rows without one go
-    when their component has an id, else they stay.
+    Decided row by row: of each component the row with the smallest ``doc_id`` stays; rows without an
+    id come after rows with one, and rows of equal id (or none) by their place in the scan. So copies
+    without id, and a row given twice, go like any other copy; a row alone in its component stays.
+    Rows are told apart by their place in the scan, so ``docs`` should be a stored table; a column
+    named ``_fg_row`` is replaced. The choice per component is an aggregate, combined inside tasks.
     """
-    found = near_duplicates(docs, shingle, radius)
-    stays = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stays")).distinct()
-    return docs.join(stays, docs["doc_id"].eqNullSafe(stays["_stays"]), "left_semi")
+    tagged = docs.withColumn("_fg_row", F.monotonically_increasing_id())
+    found = near_duplicates(tagged, shingle, radius, id_col="_fg_row").select(F.col("doc_id").alias("_fg_row"), "component_id")
+    ids = tagged.select("_fg_row", F.col("doc_id").cast("long").alias("_fg_id"))
+    order = F.struct(F.col("_fg_id").isNull().alias("none"), F.col("_fg_id").alias("id"), F.col("_fg_row").alias("row"))
+    first = found.join(ids, "_fg_row").groupBy("component_id").agg(F.min(order)["row"].alias("_fg_row"))
+    return tagged.join(first, "_fg_row", "left_semi").drop("_fg_row")
