@@ -4,7 +4,8 @@ A run is a maximal stretch of words with smallest period ``q`` (words ``q`` apar
 least ``max(24, 3q)`` long. Its positions ``i`` with ``w[i] = w[i+q]`` form a stretch of at least
 ``2q`` places, so it holds a multiple of ``q``; from the first such place at least nine places
 match (``len - 2q + 1`` with ``len >= max(24, 3q)``). The candidates are the harmonic grid,
-``0, q, 2q, ...`` for every ``q``, and the first nine matches are tested in vectorised steps. Each survivor is extended both ways by LCE queries on a
+``b, b + q, b + 2q, ...`` from each text's beginning ``b`` for every ``q`` up to a third of the
+text, made in one vectorised step, and the first nine matches are tested in vectorised steps. Each survivor is extended both ways by LCE queries on a
 recompression grammar: rounds of block compression (``a^k`` becomes one symbol) and pair
 compression (``ab`` with ``a`` on the left side and ``b`` on the right side of a per-round split of
 the alphabet) until one symbol is left. Equal names stand for equal words, so a query jumps over
@@ -31,7 +32,7 @@ from ranktab.llm.arrowtext import _give_back
 LEAST = 24
 FACTOR = 3
 SEEN = 9  # matches from a run's first grid place, at least: min over q of max(24 - 2q, q) + 1
-SLICE_WORDS = 1 << 20
+SLICE_WORDS = 1 << 18
 RUN = "struct<start:long,length:long,period:long>"
 SCHEMA = f"doc_id long, n_words long, runs array<{RUN}>, collapsed string"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -108,44 +109,61 @@ def extension(levels, n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ext
 
 
+def _ragged(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For ranges of the given lengths: the range of each element and its place inside it."""
+    owner = np.repeat(np.arange(len(lengths)), lengths)
+    firsts = np.cumsum(lengths) - lengths
+    return owner, np.arange(int(lengths.sum()), dtype=np.int64) - firsts[owner]
+
+
+def _grid(begins: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Harmonic grid of every text: places ``begin + m q`` for each period ``q <= length / 3``."""
+    tops = lengths // FACTOR
+    text, q = _ragged(tops)
+    q = q + 1
+    per_q = -(-lengths[text] // q)
+    which, m = _ragged(per_q)
+    return begins[text][which] + m * q[which], q[which]
+
+
 def runs_of(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs ``(start, length, period)`` in ``ids``, a sequence of texts each followed by a unique separator.
 
-    ``ends`` holds each text's end (its separator's place). Starts are places in ``ids``.
+    ``ends`` holds each text's end (its separator's place). Starts are places in ``ids``. The grammar
+    is built over the texts that keep a candidate after the nine-match test only.
     """
     n = len(ids)
-    if n < LEAST:
-        return (np.zeros(0, np.int64),) * 3
-    lengths = np.diff(np.r_[0, ends + 1]) - 1
-    widest = int(lengths.max()) // FACTOR
-    starts, periods = [], []
-    for q in range(1, widest + 1):
-        grid = np.arange(0, n - q, q, dtype=np.int64)
-        for t in range(SEEN):
-            if not len(grid):
-                break
-            at = grid + t
-            inside = at + q < n
-            grid = grid[inside]
-            at = at[inside]
-            grid = grid[ids[at] == ids[at + q]]
-        if len(grid) and q <= SEEN:
-            # a grid place whose predecessor also passed lies in the same stretch
-            passed = np.zeros(n, bool)
-            passed[grid] = True
-            grid = grid[~passed[np.maximum(grid - q, 0)] | (grid < q)]
-        starts.append(grid)
-        periods.append(np.full(len(grid), q, np.int64))
-    cand = np.concatenate(starts) if starts else np.zeros(0, np.int64)
-    per = np.concatenate(periods) if periods else np.zeros(0, np.int64)
+    none = (np.zeros(0, np.int64),) * 3
+    begins = np.r_[0, ends[:-1] + 1].astype(np.int64)
+    lengths = (ends - begins).astype(np.int64)
+    cand, per = _grid(begins, np.where(lengths >= LEAST, lengths, 0))
+    for t in range(SEEN):
+        if not len(cand):
+            return none
+        at = cand + t
+        ok = at + per < n
+        cand, per, at = cand[ok], per[ok], at[ok]
+        ok = ids[at] == ids[at + per]
+        cand, per = cand[ok], per[ok]
+    # a grid place whose predecessor passed too lies in the same stretch (q <= SEEN)
+    keys = cand * (SEEN + 1) + per
+    small = per <= SEEN
+    first = ~small | ~np.isin((cand - per) * (SEEN + 1) + per, keys[small])
+    cand, per = cand[first], per[first]
     if not len(cand):
-        return (np.zeros(0, np.int64),) * 3
-    forward = grammar(ids)
-    after = extension(forward, n, cand, cand + per)
+        return none
+    # the texts that hold candidates, as one sequence of their own
+    texts = np.unique(np.searchsorted(ends, cand))
+    size = lengths[texts] + 1
+    shift = begins[texts] - (np.cumsum(size) - size)
+    text_of, inner = _ragged(size)
+    sub = ids[begins[texts][text_of] + inner]
+    local = cand - shift[np.searchsorted(begins[texts], cand, side="right") - 1]
+    m = len(sub)
+    after = extension(grammar(sub), m, local, local + per)
     keep = after >= SEEN
-    cand, per, after = cand[keep], per[keep], after[keep]
-    backward = grammar(ids[::-1].copy())
-    before = extension(backward, n, n - cand, n - cand - per)  # places n-1-(i-1) and n-1-(i+q-1)
+    cand, local, per, after = cand[keep], local[keep], per[keep], after[keep]
+    before = extension(grammar(sub[::-1].copy()), m, m - local, m - local - per)  # places m-1-(i-1) and m-1-(i+q-1)
     start, length = cand - before, after + before + per
     keep = length >= np.maximum(LEAST, FACTOR * per)
     start, length, per = start[keep], length[keep], per[keep]
