@@ -256,10 +256,10 @@ def test_a_failing_candidate_scores_nothing(data):
         search.select_on(data.train, data.train, {"breaks": Breaks()})
 
 
-def test_rankers_of_three_kinds_vote(spark, data, truth, tmp_path):
+def test_rankers_of_five_kinds_vote(spark, data, truth, tmp_path):
     models = rankers(QUICK, data.prep)
     fitted = [m.fit(data.train) for m in models.values()]
-    assert len(fitted) == 3
+    assert len(fitted) == 5
     for i, model in enumerate(fitted):
         save_model(model, str(tmp_path / f"r{i}"))
         again = load_model(spark, str(tmp_path / f"r{i}"))
