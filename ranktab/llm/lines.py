@@ -18,7 +18,8 @@ LEAST_CHARS = 1
 LEAST_BLANK = 16  # shorter lines of white space alone part paragraphs and stay
 FIRST_ID = -(1 << 63)
 COUNTED = "eaionrtshdlugwbcmfpy "  # characters whose numbers are compared first
-SENT_KEYS = 1_000_000  # keys that may be sent to every task (16 MB); more are joined by a shuffle
+SENT_KEYS = 1_000_000  # keys that may be sent to every task (16 MB); more are joined by a shuffle of the rows that may have them
+SLOT_BITS = 28  # last bits of a key that tell which rows may have one of them
 
 
 def with_segment_keys(lines: DataFrame, threshold: int) -> DataFrame:
@@ -46,6 +47,20 @@ def with_segment_keys(lines: DataFrame, threshold: int) -> DataFrame:
     return rows.select(*lines.columns, key.alias("key"), F.expr("rule.gap = 0 and rule.move = 0").alias("indexed"))
 
 
+def rows_of_slots(keyed: DataFrame, met: DataFrame, bits: int = SLOT_BITS) -> DataFrame:
+    """Rows of ``keyed`` whose key shares its last ``bits`` bits with a key of ``met``: all rows of its keys, and few others.
+
+    A line has twelve keys and each carries the line, so rows that meet no other must go before a
+    shuffle. The set of last bits goes to every task, of one size for any number of keys (2 ** 28 bits are 32 MB).
+    """
+    piece, word, bit = f"(key & {(1 << bits) - 1}) div 2048", "cast((key & 2047) div 64 as int)", "cast(key & 63 as int)"
+    words = [F.expr(f"bit_or(if({word} = {i}, shiftleft(1L, {bit}), 0L))").alias(f"w{i}") for i in range(32)]
+    slots = met.groupBy(F.expr(piece).alias("piece")).agg(*words)
+    slots = slots.select("piece", F.array(*[f"w{i}" for i in range(32)]).alias("words"))
+    held = keyed.withColumn("piece", F.expr(piece)).join(F.broadcast(slots), "piece")
+    return held.where(f"(shiftright(get(words, {word}), {bit}) & 1) = 1").select(*keyed.columns)
+
+
 def edit_expression(a: str, b: str, threshold: int) -> str:
     """SQL for the edit distance of two arrays of characters if it is at most ``threshold``, else null.
 
@@ -92,8 +107,11 @@ def edit_links(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     # Counted before the shuffle, so that a line that stands in very many documents is one row per task.
     met = keyed.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high"), F.max(F.col("indexed").cast("int")).alias("any"))
     met = stage(met.where((F.col("low") != F.col("high")) & (F.col("any") == 1)).select("key"))
-    wanted = F.broadcast(met) if met.count() <= SENT_KEYS else met
-    members = keyed.join(wanted, "key").groupBy("key", "h1", "h2", "indexed").agg(F.first("line").alias("line"), F.first("n").alias("n"))
+    if met.count() <= SENT_KEYS:
+        found = keyed.join(F.broadcast(met), "key")
+    else:
+        found = rows_of_slots(keyed, met).join(met, "key")
+    members = found.groupBy("key", "h1", "h2", "indexed").agg(F.first("line").alias("line"), F.first("n").alias("n"))
     counted = [(F.col("n") - F.char_length(F.replace(F.col("line"), F.lit(c), F.lit("")))).alias(f"c{i}") for i, c in enumerate(COUNTED)]
     members = stage(members.select("*", *counted))
     named = lambda side: [F.col(c).alias(f"{side}{i}") for c, i in (("h1", 1), ("h2", 2), ("line", ""), ("n", "n"), *((f"c{i}", f"c{i}") for i in range(len(COUNTED))))]
