@@ -14,12 +14,12 @@ from ranktab.catalog.bindings import (
     N_CLASSES,
     is_train,
     samples,
-    score_array,
     scores,
     split,
+    voted_scores,
 )
 from ranktab.functions import domain, proba
-from ranktab.functions.bins import bin_code
+from ranktab.functions.bins import bin_code, round_half_up
 from ranktab.functions.rng import tagged, uniform
 from ranktab.operators import (
     augment,
@@ -48,7 +48,7 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Round every double column."""
     return df.select(
         *[
-            F.round(F.col(f"`{n}`"), digits).alias(n) if t == "double" else F.col(f"`{n}`")
+            round_half_up(F.col(f"`{n}`"), digits).alias(n) if t == "double" else F.col(f"`{n}`")
             for n, t in df.dtypes
         ]
     )
@@ -60,10 +60,8 @@ def only(df: DataFrame, exprs: dict, key: str = "id") -> DataFrame:
 
 def spread(df: DataFrame, column: str = "proba", digits: int = 9) -> DataFrame:
     """``id, p0 … p6`` from an array."""
-    return df.select(
-        "id",
-        *[F.round(F.get(F.col(column), F.lit(i)), digits).alias(f"p{i}") for i in range(N_CLASSES)],
-    )
+    slots = [F.get(F.col(column), F.lit(i)).alias(f"p{i}") for i in range(N_CLASSES)]
+    return rounded(df.select("id", *slots), digits)
 
 
 # --- sources, quality, shaping -----------------------------------------------
@@ -154,7 +152,8 @@ def expand_training(spark, sf):
 
 
 def _fitted_base(spark, sf, config=features.FeatureConfig(parity=True)):
-    df = samples(spark, sf)
+    # Fitting passes over the rows several times, and the caller once more: joined once.
+    df = stage(samples(spark, sf))
     train, _ = split(df)
     return features.BaseFeatures(SNAKE, config).fit(train), df
 
@@ -386,8 +385,8 @@ def fold_score_stats(spark, sf):
 
 
 def soft_vote(spark, sf):
-    df = scores(spark, sf)
-    votes = [proba.normalise(score_array(m)) for m in ("p", "q", "r")]
+    df = voted_scores(spark, sf, {m: m for m in ("p", "q", "r")})
+    votes = [proba.normalise(F.col(m)) for m in ("p", "q", "r")]
     return spread(df.withColumn("proba", proba.soft_vote(votes)), digits=6)
 
 
