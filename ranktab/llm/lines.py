@@ -43,7 +43,9 @@ def with_segment_keys(lines: DataFrame, threshold: int) -> DataFrame:
     rows = rows.withColumn("start", start).withColumn("size", F.expr("base + if(rule.i >= short, 1, 0)"))
     # A place before the line or beyond its end holds no segment.
     rows = rows.where("start >= 1 and start + size - 1 <= n")
-    key = F.expr("xxhash64(n - rule.gap, rule.i, substring(line, start, size))")
+    # A place in a line of one byte per character needs no count of characters from the line's start; both hashes are of the same bytes.
+    part = "substring({}, start, size)"
+    key = F.expr(f"if(octet_length(line) = n, xxhash64(n - rule.gap, rule.i, {part.format('cast(line as binary)')}), xxhash64(n - rule.gap, rule.i, {part.format('line')}))")
     return rows.select(*lines.columns, key.alias("key"), F.expr("rule.gap = 0 and rule.move = 0").alias("indexed"))
 
 
